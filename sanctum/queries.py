@@ -1,4 +1,623 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the core operators, and their SQL for DuckDB.
 
+SQL patterns are written for RE2, without lookarounds; where a rule has one, the SQL says the same over these tables by other
+means.  SALT is for tests only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.masks import keyed_hash, mask, sql_keyed_hash, value_hash
+from .functions.predicates import entropy, ranges, ru_legal_id
+from .functions.spans import inside, line_of, merge_zones, spans
+from .operators import audit, batch, detect, inventory, rewrite, zones
+from .rules import BY_NAME, GENERIC_INTERNAL, INTERNAL_TLDS, KEYWORDS, RULES, UNIVERSAL_HOSTS, Rulepack
+from .sources.text import decoded, encoded, targets, unique_targets
+from .streaming.scan import scrub_stream
+
+SALT = b"sanctum-test-salt"
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_in(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+def sql_spans(name: str, source: str, key: str, text: str, pattern: str) -> str:
+    """A CTE (key, text, value, s, e) of all matches."""
+    return f"""{name}_a AS (SELECT {key}, {text} AS text, regexp_extract_all({text}, {q(pattern)}) AS m, string_split_regex({text}, {q(pattern)}) AS g FROM {source}),
+{name}_b AS (SELECT {key}, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}_a WHERE len(m) > 0),
+{name} AS (SELECT {key}, text, m[i] AS value, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS s FROM {name}_b)"""
+
+
+SQL_LINE = "CAST(len(substr(text, 1, s)) - len(replace(substr(text, 1, s), chr(10), '')) + 1 AS INTEGER)"
+EMAIL = r"[+%.\w-]+@(?:[A-Za-z\d-]+[.])+[A-Za-z]{2,}"
+CARD = r"\b(?:3[47]\d\d|4\d{3}|5[1-5]\d\d|6011|65\d\d)(?:[-\s]?\d{4}){2}[-\s]?\d{3,4}\b"
+ASSIGN = BY_NAME["config_assignment_secret"].pattern
+SQL_ASSIGN = r"(?i)\b[.\w]*(?:" + KEYWORDS + r""")\b["']?\s*[=:]\s*["']?([\w!#&*+./:=@^|~-]{5,})"""
+
+
+def sql_luhn(value: str) -> str:
+    digits = f"regexp_replace({value}, '\\D', '', 'g')"
+    return (
+        f"(length({digits}) >= 12 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: "
+        f"CASE WHEN (length({digits}) - k) % 2 = 1 THEN (CAST(substr({digits}, k, 1) AS INTEGER) * 2) // 10 + (CAST(substr({digits}, k, 1) AS INTEGER) * 2) % 10 ELSE CAST(substr({digits}, k, 1) AS INTEGER) END)) % 10 = 0)"
+    )
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def rule_findings(df: DataFrame, key: str, text: str, rule, whole: bool = True) -> DataFrame:
+    found = df.select(key, text, F.explode(detect.rule_spans(F.col(text), rule, whole=whole)).alias("f"))
+    return found.select(key, line_of(F.col(text), F.col("f.start")).alias("line"), F.col("f.start").alias("offset_start"), F.col("f.end").alias("offset_end"), F.col("f.value").alias("matched_value"))
+
+
+def sha(c: str):
+    return F.sha2(F.encode(c, "UTF-8"), 256)
+
+
+# ---- regular-expression rules ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql_spans('f', 'documents', 'doc_id', 'text', EMAIL)} SELECT doc_id, {SQL_LINE} AS line, s AS offset_start, CAST(s + length(value) AS INTEGER) AS offset_end, sha256(value) AS value_hash FROM f")
+def email_findings(spark, sf_dir):
+    return rule_findings(docs(spark, sf_dir), "doc_id", "text", BY_NAME["email"]).withColumn("value_hash", sha("matched_value")).drop("matched_value")
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, regexp_extract_all(text, {q(EMAIL)}) AS m, string_split_regex(text, {q(EMAIL)}) AS g FROM documents)
+SELECT doc_id, sha256(CASE WHEN len(m) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || 'user_' || {sql_keyed_hash(SALT, 'm[i]')} || '@example.invalid'), '') || g[len(g)] END) AS text_sha256 FROM a"""
+)
+def email_mask(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", rewrite.scrub_rule(F.col("text"), BY_NAME["email"], SALT).alias("text")).select("doc_id", sha("text").alias("text_sha256"))
+
+
+@query(f"WITH {sql_spans('f', 'documents', 'doc_id', 'text', CARD)} SELECT doc_id, {SQL_LINE} AS line, s AS offset_start, value AS matched_value FROM f WHERE {sql_luhn('value')}")
+def card_findings_luhn(spark, sf_dir):
+    return rule_findings(docs(spark, sf_dir), "doc_id", "text", BY_NAME["credit_card"]).drop("offset_end")
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {q(CARD)}) AS m, string_split_regex(html, {q(CARD)}) AS g FROM pages)
+SELECT page_id, sha256(CASE WHEN len(m) = 0 THEN html ELSE array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || CASE WHEN {sql_luhn('m[i]')} THEN 'REDACTED_CREDIT_CARD_' || {sql_keyed_hash(SALT, 'substr(m[i], 1, 64)')} ELSE m[i] END), '') || g[len(g)] END) AS html_sha256 FROM a"""
+)
+def card_scrub(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", rewrite.scrub_rule(F.col("html"), BY_NAME["credit_card"], SALT).alias("html"))
+    return pages.select("page_id", sha("html").alias("html_sha256"))
+
+
+@query(f"WITH {sql_spans('f', 'documents', 'doc_id', 'text', SQL_ASSIGN)} SELECT doc_id, {SQL_LINE} AS line, CAST(s + length(value) AS INTEGER) AS offset_end, sha256(regexp_extract(value, {q(SQL_ASSIGN)}, 1)) AS value_hash FROM f")
+def secret_assignment_findings(spark, sf_dir):
+    out = rule_findings(docs(spark, sf_dir), "doc_id", "text", BY_NAME["config_assignment_secret"])
+    return out.select("doc_id", "line", "offset_end", F.sha2(F.encode(F.regexp_extract("matched_value", SQL_ASSIGN, 1), "UTF-8"), 256).alias("value_hash"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, regexp_extract_all(text, {q(SQL_ASSIGN)}) AS m, regexp_extract_all(text, {q(SQL_ASSIGN)}, 1) AS v, string_split_regex(text, {q(SQL_ASSIGN)}) AS g FROM documents)
+SELECT doc_id, sha256(CASE WHEN len(m) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || substr(m[i], 1, length(m[i]) - length(v[i])) || 'REDACTED_' || {sql_keyed_hash(SALT, 'v[i]')}), '') || g[len(g)] END) AS text_sha256 FROM a"""
+)
+def secret_scrub_value_only(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", rewrite.scrub_rule(F.col("text"), BY_NAME["config_assignment_secret"], SALT).alias("text")).select("doc_id", sha("text").alias("text_sha256"))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(SQL_ASSIGN)}, 1)) AS value FROM documents),
+b AS (SELECT value, unnest(string_split(value, '')) AS c FROM a), n AS (SELECT value, c, count(*) AS k, length(value) AS n FROM b GROUP BY ALL)
+SELECT sha256(value) AS value_hash, round(-sum(k / n * log2(k / n)), 6) AS entropy FROM n GROUP BY value"""
+)
+def secret_entropy(spark, sf_dir):
+    values = docs(spark, sf_dir).select(F.explode(spans(F.col("text"), ASSIGN, 1, guard=detect.guard_of(BY_NAME["config_assignment_secret"], F.col("text")))).alias("f")).select("f.value").distinct()
+    return values.select(sha("value").alias("value_hash"), F.round(entropy(F.col("value")), 6).alias("entropy"))
+
+
+#: Rules that RE2 takes as they are.
+RE2 = [r for r in RULES if "(?<" not in r.pattern and "(?!" not in r.pattern and "[А" not in r.pattern]
+
+
+def _counts_sql() -> str:
+    parts = []
+    for t, c in (("documents", "text"), ("pages", "html")):
+        columns = ", ".join(f"sum(len(regexp_extract_all({c}, {q(r.pattern)}))) AS {r.name}" for r in RE2)
+        parts.append(f"SELECT '{t}' AS source, rule, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT {columns} FROM {t}) ON COLUMNS(*) INTO NAME rule VALUE n)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_counts_sql())
+def regex_re2_catalogue_counts(spark, sf_dir):
+    def count(t, c):
+        col = F.col(c)
+        n = [F.sum(F.when(detect.guard_of(r, col), F.regexp_count(col, F.lit(r.pattern))).otherwise(0)).alias(r.name) for r in RE2]
+        rows = ", ".join(f"'{r.name}', `{r.name}`" for r in RE2)
+        return table(spark, sf_dir, t).agg(*n).selectExpr(f"'{t}' AS source", f"stack({len(RE2)}, {rows}) AS (rule, n)")
+
+    return count("documents", "text").unionByName(count("pages", "html"))
+
+
+LOOKAROUND = [
+    ("email", "to bob@corp.example-mail.com now", 1), ("email", "git@host.com:org/repo.git", 0), ("email", "x@y.invalid", 0), ("phone_e164", "call +14155552671 now", 1), ("phone_e164", "id+14155552671x", 0),
+    ("phone_ru", "тел. 8 (912) 345-67-89", 1), ("phone_ru", "+7 912 345 67 89", 1), ("phone_ru", "1234567890123456", 0), ("ssn", "ssn 123-45-6789", 1), ("ssn", "000-45-6789", 0), ("ssn", "912-45-6789", 0),
+    ("fio_ru", "Подпись: Иванов Пётр Сергеевич", 1), ("fio_ru", "Москва и область", 0), ("config_assignment_secret", 'db_password = "hunter22"', 1), ("config_assignment_secret", "password: changeme", 0), ("config_assignment_secret", "token=REDACTED_0123456789ab", 0),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}', CAST({n} AS BIGINT))" for i, (r, _, n) in enumerate(LOOKAROUND)) + ") AS t(id, rule, n)")
+def regex_lookaround_catalogue(spark, sf_dir):
+    df = spark.createDataFrame([(i, r, t) for i, (r, t, _) in enumerate(LOOKAROUND)], "id int, rule string, text string")
+    n = F.lit(None).cast("long")
+    for r in sorted({r for r, _, _ in LOOKAROUND}):
+        n = F.when(F.col("rule") == r, F.size(detect.rule_spans(F.col("text"), BY_NAME[r])).cast("long")).otherwise(n)
+    return df.select("id", "rule", n.alias("n"))
+
+
+# ---- endpoints -------------------------------------------------------------------------------------------------------
+
+
+def sql_public(v: str) -> str:
+    o = lambda i: f"CAST(split_part({v}, '.', {i}) AS BIGINT)"
+    n = f"({o(1)} * 16777216 + {o(2)} * 65536 + {o(3)} * 256 + {o(4)})"
+    valid = " AND ".join(f"{o(i)} <= 255 AND NOT regexp_matches(split_part({v}, '.', {i}), '^0.')" for i in range(1, 5))
+    bad = " OR ".join(f"{n} BETWEEN {a} AND {b}" for a, b in ranges())
+    return f"({valid} AND (NOT ({bad}) OR {v} IN ('192.0.0.9', '192.0.0.10')) AND {v} NOT IN ('1.0.0.1', '1.1.1.1', '8.8.4.4', '8.8.8.8'))"
+
+
+TOKEN, QUAD = r"[\w.]+", r"\d{1,3}(?:[.]\d{1,3}){3}"
+SQL_VERSION = r"(?i)assembly|frameworkversion|mscorlib|netcoreapp|netstandard|packageref|<reference|runtimeversion|targetframework|version|\bver\b|v\s*="
+
+
+def _version(window: int) -> str:
+    return f"regexp_matches(regexp_replace(substr(text, greatest(s - {window}, 0) + 1, s - greatest(s - {window}, 0)), '(?s)^.*[)\\]}};>,\\n]', ''), {q(SQL_VERSION)})"
+
+
+SQL_IPS = f"{sql_spans('t', 'documents', 'doc_id', 'text', TOKEN)}, f AS (SELECT * FROM t WHERE regexp_full_match(value, {q(QUAD)}))"
+
+
+@query(f"WITH {SQL_IPS} SELECT doc_id, {SQL_LINE} AS line, s AS offset_start, value AS matched_value FROM f WHERE {sql_public('value')} AND NOT {_version(48)}")
+def public_ipv4_findings(spark, sf_dir):
+    found = docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.public_ip_spans(F.col("text"))).alias("f"))
+    return found.select("doc_id", line_of(F.col("text"), F.col("f.start")).alias("line"), F.col("f.start").alias("offset_start"), F.col("f.value").alias("matched_value"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, regexp_extract_all(text, {q(TOKEN)}) AS m, string_split_regex(text, {q(TOKEN)}) AS g FROM documents)
+SELECT doc_id, sha256(CASE WHEN NOT regexp_matches(text, {q(QUAD)}) THEN text ELSE array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] ||
+  CASE WHEN NOT regexp_full_match(m[i], {q(QUAD)}) THEN m[i] WHEN {sql_public("CASE WHEN regexp_full_match(m[i], '" + QUAD + "') THEN m[i] ELSE '0.0.0.0' END")}
+    THEN '203.0.113.' || (CAST('0x' || {sql_keyed_hash(SALT, 'm[i]', 6)} AS BIGINT) % 254 + 1) ELSE m[i] END), '') || g[len(g)] END) AS text_sha256 FROM a"""
+)
+def ipv4_doc_range_mask(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", rewrite.scrub_public_ipv4(F.col("text"), SALT).alias("text")).select("doc_id", sha("text").alias("text_sha256"))
+
+
+SQL_HOST = r"^https?://([^\s\"'#/:<>?\\]+)"
+
+
+def sql_listed(host: str, listed) -> str:
+    return f"len(list_filter({'[' + ', '.join(q(x) for x in listed) + ']'}, lambda k: {host} = k OR ends_with({host}, '.' || k))) > 0"
+
+
+#: Masked when hosts under .net and .org count as foreign: the kept list is cut down to one ending.
+@query(f"WITH h AS (SELECT page_id, lower(regexp_extract(url, {q(SQL_HOST)}, 1)) AS host FROM pages) SELECT host, count(*) AS n, bool_and({sql_listed('host', UNIVERSAL_HOSTS)}) AS kept FROM h GROUP BY host")
+def url_host_findings(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("url", F.size(detect.url_host_spans(F.col("url"))).alias("flagged"), F.lower(F.regexp_extract("url", SQL_HOST, 1)).alias("host"))
+    return pages.groupBy("host").agg(F.count("*").alias("n"), F.bool_and(F.col("flagged") == 0).alias("kept"))
+
+
+@query(f"SELECT page_id, regexp_replace(replace(url, '.example.', '.vendor.'), {q('^(https?://)[^/?#:]+')}, regexp_extract(url, '^(https?://)', 1) || {sql_keyed_hash(SALT, 'regexp_extract(replace(url, ' + q('.example.') + ', ' + q('.vendor.') + '), ' + q(SQL_HOST) + ', 1)')} || '.example.invalid') AS url FROM pages")
+def url_host_mask(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit(".example."), F.lit(".vendor.")).alias("url"))
+    return pages.select("page_id", rewrite.scrub_url_hosts(F.col("url"), SALT).alias("url"))
+
+
+@query(
+    f"""WITH t AS (SELECT page_id AS id, lower(regexp_extract(url, {q(SQL_HOST)}, 1)) AS d FROM pages UNION ALL SELECT c_custkey, lower(replace(c_name, '#', '-')) || CASE c_custkey % 3 WHEN 0 THEN '.corp.local' WHEN 1 THEN '.svc.cluster.local' ELSE '.example.com' END FROM customer)
+SELECT d AS domain, count(*) AS n FROM t WHERE (split_part(d, '.', -1) IN {sql_in(INTERNAL_TLDS)} OR {sql_listed('d', ['example.org'])}) AND d NOT IN {sql_in(GENERIC_INTERNAL)} AND NOT ends_with(d, '.svc.cluster.local') GROUP BY d"""
+)
+def internal_domain_findings(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text"))
+    ending = F.when(F.col("c_custkey") % 3 == 0, ".corp.local").when(F.col("c_custkey") % 3 == 1, ".svc.cluster.local").otherwise(".example.com")
+    hosts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.replace("c_name", F.lit("#"), F.lit("-")), ending).alias("text"))
+    found = pages.unionByName(hosts).select(F.explode(detect.domain_spans(F.col("text"), ["example.org"])).alias("f"))
+    return found.select(F.lower("f.value").alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, CAST(l_partkey % 50 AS INTEGER) AS s, CAST(l_partkey % 50 + l_suppkey % 9 + 1 AS INTEGER) AS e, CAST(l_linenumber % 3 AS INTEGER) AS rank FROM lineitem),
+u AS (SELECT DISTINCT * FROM s), w AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM u)
+SELECT id, s AS start, e AS "end", rank FROM w WHERE most IS NULL OR most < e"""
+)
+def endpoint_containment_dedupe(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "CAST(l_partkey % 50 AS INT) AS start", "CAST(l_partkey % 50 + l_suppkey % 9 + 1 AS INT) AS end", "CAST(l_linenumber % 3 AS INT) AS rank")
+    return detect.contained_window(s.distinct(), "id")
+
+
+# ---- checksums, dictionaries, paths ----------------------------------------------------------------------------------
+
+
+def _w(v: str, weights: list[int]) -> str:
+    return "((" + " + ".join(f"{w} * CAST(substr({v}, {i + 1}, 1) AS INTEGER)" for i, w in enumerate(weights)) + ") % 11 % 10)"
+
+
+def sql_legal(v: str) -> str:
+    d = lambda i: f"CAST(substr({v}, {i}, 1) AS INTEGER)"
+    year = f"(CAST(substr({v}, 2, 2) AS INTEGER) BETWEEN 1 AND 35 OR CAST(substr({v}, 2, 2) AS INTEGER) BETWEEN 93 AND 99)"
+    return (
+        f"(length(replace({v}, substr({v}, 1, 1), '')) > 0 AND CASE length({v}) WHEN 10 THEN {_w(v, [2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(10)} "
+        f"WHEN 12 THEN {_w(v, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(11)} AND {_w(v, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(12)} "
+        f"WHEN 13 THEN {year} AND CAST(substr({v}, 1, 12) AS BIGINT) % 11 % 10 = {d(13)} WHEN 15 THEN {year} AND CAST(substr({v}, 1, 14) AS BIGINT) % 13 % 10 = {d(15)} ELSE false END)"
+    )
+
+
+SQL_IDS = "SELECT o_orderkey AS id, unnest([lpad(CAST(o_orderkey * 7919 + 100000 AS VARCHAR), 10, '7'), lpad(CAST(o_orderkey * 104729 AS VARCHAR), 12, '50'), lpad(CAST(o_orderkey * 1299709 AS VARCHAR), 13, '10277'), lpad(CAST(o_orderkey * 15485863 AS VARCHAR), 15, '304500')]) AS value FROM orders"
+
+
+@query(f"WITH v AS ({SQL_IDS}) SELECT id, value, {sql_legal('value')} AS valid FROM v WHERE length(value) IN (10, 12, 13, 15)")
+def ru_legal_id_check(spark, sf_dir):
+    forms = "explode(array(lpad(CAST(o_orderkey * 7919 + 100000 AS STRING), 10, '7'), lpad(CAST(o_orderkey * 104729 AS STRING), 12, '50'), lpad(CAST(o_orderkey * 1299709 AS STRING), 13, '10277'), lpad(CAST(o_orderkey * 15485863 AS STRING), 15, '304500'))) AS value"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", forms).where("length(value) IN (10, 12, 13, 15)").select("id", "value", ru_legal_id(F.col("value")).alias("valid"))
+
+
+TERMS = [("clients", "anan"), ("clients", "public license"), ("codenames", "creative commons"), ("codenames", "mentemente"), ("orgs", "ungung"), ("orgs", "licensed under")]
+KEEP = ["ungung", "the", "kept term"]
+
+
+def _terms_sql(terms) -> str:
+    return "(VALUES " + ", ".join(f"({q(d)}, {q(t)})" for d, t in terms) + ") AS k(dict, term)"
+
+
+SQL_HITS = """SELECT doc_id, dict, term, CAST(p AS INTEGER) AS start FROM (SELECT doc_id, dict, term, lower(text) AS low, unnest(range(0, length(lower(text)) - length(term) + 1)) AS p FROM documents, {terms} WHERE contains(lower(text), term)) WHERE substr(low, p + 1, length(term)) = term"""
+
+
+@query(SQL_HITS.format(terms=_terms_sql(TERMS)))
+def dictionary_matches(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    return detect.dictionary_findings(rows, TERMS).select("doc_id", "dict", "term", "start")
+
+
+@query(SQL_HITS.format(terms=_terms_sql([t for t in TERMS if t[1] not in KEEP])))
+def dictionary_keep_antijoin(spark, sf_dir):
+    terms = spark.createDataFrame(TERMS, "dict string, term string").join(spark.createDataFrame([(k,) for k in KEEP], "term string"), "term", "left_anti")
+    # a dictionary is a rule table, read on the driver when rules are loaded; here it has six rows
+    kept = [(r["dict"], r["term"]) for r in terms.collect()]
+    hits = docs(spark, sf_dir)
+    found = [hits.select("doc_id", F.lit(d).alias("dict"), F.lit(t).alias("term"), F.explode(detect.dictionary_spans(F.col("text"), F.lit(t))).alias("f")) for d, t in kept]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("doc_id", "dict", "term", F.col("f.start").alias("start"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages), a AS (SELECT path, string_split(path, '/') AS c FROM p),
+b AS (SELECT path, c, unnest(range(1, len(c) + 1)) AS i FROM a), h AS (SELECT array_to_string(c[1:i], '/') AS prefix, term AS value, path FROM b, (VALUES ('thth'), ('html'), ('example')) AS k(term) WHERE contains(lower(c[i]), term))
+SELECT min(path) AS path, prefix, value FROM h GROUP BY prefix, value"""
+)
+def path_component_brand(spark, sf_dir):
+    paths = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path")).distinct()
+    return detect.path_brand_findings(paths, ["thth", "html", "Example"])
+
+
+ORGS = ["Yandex", "Yandex LLC", "Google Inc", "Apple Google", "Google Pay", "Inc LLC", "google", "Acme Corp", "Apple", "Yandex Taxi LLC"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({q(o)}, {k})" for o, k in zip(ORGS, ["true", "true", "true", "true", "false", "false", "true", "false", "true", "false"])) + ") AS t(name, kept)")
+def kept_org_rule(spark, sf_dir):
+    return spark.createDataFrame([(o,) for o in ORGS], "name string").select("name", detect.kept_org(F.col("name"), ["yandex", "google", "apple"]).alias("kept"))
+
+
+# ---- zones -----------------------------------------------------------------------------------------------------------
+
+SQL_ZONES = f"""{sql_spans('c1', 'documents', 'doc_id', 'text', '(?m)#[^' + chr(92) + 'n]*$')}, {sql_spans('c2', 'documents', 'doc_id', 'text', '(?m)//[^' + chr(92) + 'n]*$')}, {sql_spans('c3', 'documents', 'doc_id', 'text', '(?m)--[^' + chr(92) + 'n]*$')},
+z AS (SELECT doc_id, s, CAST(s + length(value) AS INTEGER) AS e FROM c1 UNION ALL SELECT doc_id, s, CAST(s + length(value) AS INTEGER) FROM c2 UNION ALL SELECT doc_id, s, CAST(s + length(value) AS INTEGER) FROM c3),
+y AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM z),
+x AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM y), m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM x GROUP BY doc_id, island)"""
+
+
+@query(f'WITH {SQL_ZONES} SELECT doc_id, s AS start, e AS "end" FROM m')
+def comment_zones(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(zones.comment_zones(F.col("text"))).alias("z")).select("doc_id", "z.start", "z.end")
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, CAST(l_partkey % 90 AS INTEGER) AS s, CAST(l_partkey % 90 + l_suppkey % 15 AS INTEGER) AS e FROM lineitem),
+y AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+x AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY s, e) AS island FROM y) SELECT id, min(s) AS start, max(e) AS "end" FROM x GROUP BY id, island"""
+)
+def zone_merge(spark, sf_dir):
+    z = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "struct(CAST(l_partkey % 90 AS INT) AS start, CAST(l_partkey % 90 + l_suppkey % 15 AS INT) AS end) AS z")
+    return z.groupBy("id").agg(merge_zones(F.collect_list("z")).alias("zs")).select("id", F.explode("zs").alias("z")).select("id", "z.start", "z.end")
+
+
+@query(f"WITH {SQL_ZONES}, {sql_spans('f', 'documents', 'doc_id', 'text', EMAIL)} SELECT f.doc_id, f.s AS offset_start FROM f WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = f.doc_id AND m.s <= f.s AND f.s + length(f.value) <= m.e) UNION ALL SELECT doc_id, s FROM f WHERE doc_id % 2 = 0")
+def zone_filtered_findings(spark, sf_dir):
+    """E-mails within comments, and once more those of even documents, whose zones are null."""
+    text = F.col("text")
+    zoned = docs(spark, sf_dir).select("doc_id", F.explode(detect.rule_spans(text, BY_NAME["email"], zones.comment_zones(text))).alias("f"))
+    free = docs(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", F.explode(detect.rule_spans(text, BY_NAME["email"], F.lit(None).cast(zones.ZONES))).alias("f"))
+    return zoned.unionByName(free).select("doc_id", F.col("f.start").alias("offset_start"))
+
+
+# ---- rewrites --------------------------------------------------------------------------------------------------------
+
+PACK = Rulepack().only("email", "credit_card", "config_assignment_secret")
+
+
+def document_targets(spark, sf_dir):
+    return targets(docs(spark, sf_dir), "doc_id", "text", "documents")
+
+
+def page_targets(spark, sf_dir):
+    return targets(table(spark, sf_dir, "pages"), "page_id", "html", "pages", F.col("url"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, regexp_extract_all(text, {q(EMAIL)}) AS m, string_split_regex(text, {q(EMAIL)}) AS g FROM documents)
+SELECT doc_id, sha256(CASE WHEN len(m) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || 'REDACTED_EMAIL_' || {sql_keyed_hash(SALT, 'm[i]')}), '') || g[len(g)] END) AS text_sha256 FROM a"""
+)
+def span_apply_redact(spark, sf_dir):
+    text = F.col("text")
+    found = detect.regex_detector(text, Rulepack().only("email"))
+    return docs(spark, sf_dir).withColumn("f", found).select("doc_id", rewrite.apply_findings(text, F.col("f"), SALT).alias("text")).select("doc_id", sha("text").alias("text_sha256"))
+
+
+@query()
+def full_scrub(spark, sf_dir):
+    return rewrite.scrub(docs(spark, sf_dir), "text", SALT).select("doc_id", sha("text").alias("text_sha256"))
+
+
+@query("SELECT count(*) AS docs, CAST(0 AS BIGINT) AS changed_again FROM documents")
+def scrub_idempotent(spark, sf_dir):
+    once = rewrite.scrub(docs(spark, sf_dir), "text", SALT, PACK.rules).withColumn("first", F.xxhash64("text"))
+    twice = rewrite.scrub(once, "text", SALT, PACK.rules)
+    return twice.agg(F.count("*").alias("docs"), F.count_if(F.col("first") != F.xxhash64("text")).alias("changed_again"))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(EMAIL)})) AS v FROM documents), p AS (SELECT DISTINCT unnest(regexp_extract_all(html, {q(EMAIL)})) AS v FROM pages)
+SELECT {sql_keyed_hash(SALT, 'v')} AS pseudonym, true AS in_documents, v IN (SELECT v FROM p) AS in_pages FROM d"""
+)
+def value_hash_join(spark, sf_dir):
+    def emails(df, c):
+        found = df.select(F.explode(detect.rule_spans(F.col(c), BY_NAME["email"])).alias("f"))
+        return found.select(keyed_hash(SALT, F.col("f.value")).alias("pseudonym")).distinct()
+
+    d, p = emails(docs(spark, sf_dir), "text"), emails(table(spark, sf_dir, "pages"), "html").withColumn("hit", F.lit(True))
+    return d.join(p, "pseudonym", "left").select("pseudonym", F.lit(True).alias("in_documents"), F.coalesce("hit", F.lit(False)).alias("in_pages"))
+
+
+@query(
+    f"""WITH p AS (SELECT c_name AS name, 'c' || c_custkey || '@corp.test' AS email FROM customer UNION ALL SELECT s_name, 's' || s_suppkey || '@corp.test' FROM supplier)
+SELECT 'Author_' || {sql_keyed_hash(SALT, 'name')} AS author_name, 'author_' || {sql_keyed_hash(SALT, 'email')} || '@example.invalid' AS author_email FROM p"""
+)
+def author_pseudonyms(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_name AS name", "concat('c', c_custkey, '@corp.test') AS email")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", "concat('s', s_suppkey, '@corp.test') AS email")
+    return c.unionByName(s).select(rewrite.author_name(F.col("name"), SALT).alias("author_name"), rewrite.author_email(F.col("email"), SALT).alias("author_email"))
+
+
+BRANDS = [rewrite.Brand("brand#1", "acme1", False), rewrite.Brand(r"(?i)brand#\d\d", "acme$0"), rewrite.Brand("Brand", "maker", False, True, 200), rewrite.Brand(r"#3", r"\three", priority=5)]
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(p_brand, '#3', '\three'), '(?i)brand#\d\d', 'acme$0', 'g'), '(?i)brand\#1', 'acme1', 'g'), 'Brand', 'Maker', 'g') AS brand FROM part"""
+)
+def brand_map_apply(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", rewrite.apply_brand_map(F.col("p_brand"), BRANDS).alias("brand"))
+
+
+@query("SELECT replacement, array_to_string(list_sort(list_distinct(list(pattern))), ',') AS patterns FROM (SELECT p_brand AS pattern, 'acme' || p_size AS replacement FROM part) GROUP BY replacement HAVING count(DISTINCT pattern) >= 2")
+def brand_map_collisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_brand AS pattern", "concat('acme', p_size) AS replacement")
+    return rewrite.brand_collisions(rows).select("replacement", F.array_join("patterns", ",").alias("patterns"))
+
+
+@query(
+    f"""WITH r AS (SELECT url AS name, list_filter(list_transform(string_split(url, '/'), lambda p: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '[^\\w.+@-]+', '-', 'g'), '[.]{{2,}}', '.', 'g'), '@\\{{', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), '([.]lock)+$', '')), lambda p: p <> '') AS parts FROM pages)
+SELECT name, CASE WHEN len(parts) = 0 THEN 'branch-' || {sql_keyed_hash(SALT, 'name')} ELSE array_to_string(parts, '/') END AS slug FROM r"""
+)
+def ref_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("name"), rewrite.ref_slug(F.col("url"), SALT).alias("slug"))
+
+
+@query("WITH r AS (SELECT s_suppkey, n_name, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, CASE WHEN k = 1 THEN n_name ELSE n_name || '-' || k END AS key FROM r")
+def key_disambiguation(spark, sf_dir):
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return rewrite.disambiguate(named, "n_name", ["s_suppkey"]).select("s_suppkey", "key")
+
+
+# ---- inventory, sources, joins ---------------------------------------------------------------------------------------
+
+SQL_PATHS = "SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'src/' || p_partkey || '.py' WHEN 1 THEN 'config.' || p_partkey || '.yaml' WHEN 2 THEN 'docs/a' || p_partkey || '.md' WHEN 3 THEN 'img/' || p_partkey || '.png' WHEN 4 THEN 'lib/' || p_partkey || '.jar' WHEN 5 THEN '.env.example' WHEN 6 THEN 'CODEOWNERS' ELSE 'settings/' || p_partkey || '.toml' END AS path, CAST(p_size * 1000000 AS BIGINT) AS size FROM part"
+
+
+@query(
+    f"""WITH f AS ({SQL_PATHS}), c AS (SELECT id, CASE WHEN path LIKE '%.example' THEN CASE WHEN size > 20971520 THEN 'SKIP' ELSE 'SCAN' END WHEN path LIKE 'config.%' OR path = 'CODEOWNERS' OR path LIKE '%.jar' THEN 'DELETE' WHEN path LIKE '%.png' THEN 'SKIP' WHEN size > 20971520 THEN 'SKIP' ELSE 'SCAN' END AS action,
+  CASE WHEN path LIKE '%.py' THEN 'code' WHEN path LIKE '%.yaml' OR path LIKE '%.toml' THEN 'config' WHEN path LIKE '%.png' THEN 'binary' ELSE 'docs' END AS category FROM f)
+SELECT category, action, count(*) AS n FROM c GROUP BY category, action"""
+)
+def inventory_actions(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "CASE p_partkey % 8 WHEN 0 THEN concat('src/', p_partkey, '.py') WHEN 1 THEN concat('config.', p_partkey, '.yaml') WHEN 2 THEN concat('docs/a', p_partkey, '.md') WHEN 3 THEN concat('img/', p_partkey, '.png') WHEN 4 THEN concat('lib/', p_partkey, '.jar') WHEN 5 THEN '.env.example' WHEN 6 THEN 'CODEOWNERS' ELSE concat('settings/', p_partkey, '.toml') END AS path",
+        "CAST(p_size * 1000000 AS BIGINT) AS size",
+    )
+    return inventory.inventory(parts).groupBy("category", "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS digest, CAST(min(CAST(doc_id AS VARCHAR)) AS VARCHAR) AS object_id, count(*) AS copies FROM documents GROUP BY 1")
+def unique_text_scan(spark, sf_dir):
+    return unique_targets(document_targets(spark, sf_dir))[0]
+
+
+@query("SELECT conv_id, turn, 'role' AS field, length(role) AS n FROM conversations UNION ALL SELECT conv_id, turn, 'text', length(text) FROM conversations")
+def unpivot_metadata_scan(spark, sf_dir):
+    out = batch.unpivot(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], ["role", "text"])
+    return out.select("conv_id", "turn", "field", F.length("content").cast("long").alias("n"))
+
+
+def audit_findings(spark, sf_dir):
+    rows = document_targets(spark, sf_dir).unionByName(page_targets(spark, sf_dir))
+    return detect.findings(rows, PACK, ("regex",))
+
+
+def _found_sql() -> str:
+    parts = []
+    for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        for rule, pattern, category, severity, extra in (("email", EMAIL, "PII", "HIGH", ""), ("credit_card", CARD, "PII", "CRITICAL", f" WHERE {sql_luhn('v')}"), ("config_assignment_secret", SQL_ASSIGN, "SECRET", "HIGH", "")):
+            parts.append(f"SELECT '{t}' AS scope, CAST({k} AS VARCHAR) AS object_id, '{category}' AS category, '{severity}' AS severity FROM (SELECT {k}, unnest(regexp_extract_all({c}, {q(pattern)})) AS v FROM {t}){extra}")
+    return "f AS (" + " UNION ALL ".join(parts) + ")"
+
+
+FOUND_SQL = _found_sql()
+
+
+@query(f"WITH {FOUND_SQL} SELECT category, count(*) AS n FROM f GROUP BY category")
+def category_summary(spark, sf_dir):
+    return audit.category_summary(audit_findings(spark, sf_dir))
+
+
+@query(f"WITH {FOUND_SQL} SELECT scope, category, severity, count(*) AS n FROM f GROUP BY ROLLUP (scope, category, severity)")
+def severity_rollup(spark, sf_dir):
+    return audit.severity_rollup(audit_findings(spark, sf_dir))
+
+
+@query(f"WITH {FOUND_SQL} SELECT scope, count(DISTINCT object_id) AS objects FROM f GROUP BY scope")
+def docs_with_findings(spark, sf_dir):
+    return audit_findings(spark, sf_dir).groupBy("scope").agg(F.countDistinct("object_id").alias("objects"))
+
+
+@query(
+    f"WITH {FOUND_SQL}, g AS (SELECT count(*) FILTER (category = 'SECRET') AS SECRETS, count(*) FILTER (category = 'PII' AND severity = 'HIGH') AS PII_HIGH, count(*) FILTER (category = 'PII') AS PII_ALL, count(*) FILTER (category = 'ENDPOINT') AS ENDPOINTS, count(*) FILTER (category = 'DICTIONARY') AS DICTIONARY, "
+    "count(*) FILTER (category = 'ORG_NAME') AS ORG_NAME, count(*) FILTER (category = 'BRAND_IDENTIFIER') AS BRAND_IDENTIFIER, count(*) FILTER (category = 'BRAND_PATH') AS BRAND_PATH, count(*) FILTER (category = 'PACKAGE_NAMESPACE') AS PACKAGE_NAMESPACE FROM f) SELECT gate, failing_count, failing_count = 0 AS passed FROM (UNPIVOT g ON COLUMNS(*) INTO NAME gate VALUE failing_count)"
+)
+def gates(spark, sf_dir):
+    return audit.finding_gates(audit_findings(spark, sf_dir), strict=True).select("gate", "failing_count", "passed")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS valid FROM events GROUP BY event_type")
+def config_json_validity(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", audit.config_valid(F.col("props"), F.lit("props.json")).alias("ok"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"))
+
+
+def _tasks(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    tasks = orders.select(F.col("o_orderkey").alias("key"))
+    state = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed").otherwise("running").alias("status"))
+    return tasks, state
+
+
+@query("SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 5 = 0 OR o_orderstatus NOT IN ('F', 'O')")
+def resume_pending(spark, sf_dir):
+    return batch.pending(*_tasks(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderstatus = 'F') AS done, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderkey % 5 = 0 OR o_orderstatus NOT IN ('F', 'O')) AS pending FROM orders")
+def batch_summary(spark, sf_dir):
+    return batch.summary(*_tasks(spark, sf_dir))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE'))")
+def scope_semi_join(spark, sf_dir):
+    scope = table(spark, sf_dir, "region").where("r_name IN ('ASIA', 'EUROPE')").select(F.col("r_regionkey").alias("n_regionkey"))
+    return batch.in_scope(table(spark, sf_dir, "nation"), scope, "n_regionkey").select("n_nationkey", "n_name")
+
+
+# ---- without SQL -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def variant_expansion(spark, sf_dir):
+    from .variants import expand
+
+    f = F.udf(lambda t: sorted(expand(t)), "array<string>")  # for terms, of which a rulepack has thousands at most
+    terms = table(spark, sf_dir, "part").select(F.col("p_brand").alias("term")).distinct()
+    return terms.select("term", F.explode(f("term")).alias("variant"))
+
+
+@query()
+def chunk_overlap(spark, sf_dir):
+    out = detect.chunk_rows(docs(spark, sf_dir), "doc_id", "text")
+    return out.groupBy("id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.max(F.col("offset") + F.length("chunk")).alias("covered"))
+
+
+@query("SELECT count(*) AS docs, CAST(0 AS BIGINT) AS differ FROM documents")
+def stream_scan_parity(spark, sf_dir):
+    """The batch and the streaming rewrite of e-mails, compared row by row."""
+    import uuid
+
+    from .streaming.scan import read_documents, run_available
+
+    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    streamed = scrub_stream(read_documents(spark, f"{sf_dir}/documents.parquet*").select("doc_id", "text"), "text", BY_NAME["email"], SALT)
+    run_available(streamed.select("doc_id", F.xxhash64("text").alias("h")), f"{root}/out", f"{root}/checkpoint")
+    done = spark.read.parquet(f"{root}/out")
+    whole = docs(spark, sf_dir).select("doc_id", F.xxhash64(rewrite.scrub_rule(F.col("text"), BY_NAME["email"], SALT)).alias("h"))
+    counted = done.withColumn("d", F.lit(-1)).unionByName(whole.withColumn("d", F.lit(1))).groupBy("doc_id", "h").agg(F.sum("d").alias("d"), F.count_if(F.col("d") == 1).alias("n"))
+    return counted.agg(F.sum("n").alias("docs"), F.sum(F.abs("d")).alias("differ"))
+
+
+def _shared(spark) -> str:
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sanctum-")
+
+
+@query()
+def ner_stub(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Dr. Jane Roe of Acme Widgets Ltd wrote: "), "text").alias("content"))
+    return detect.ner_findings(rows, "doc_id").groupBy("label", "value").agg(F.count("*").alias("n"))
+
+
+@query()
+def encoding_roundtrip(spark, sf_dir):
+    """Texts of even documents as UTF-8, of odd ones as UTF-16 with its mark; all must come back."""
+    d = docs(spark, sf_dir)
+    raw = d.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16")).alias("raw"))
+    back = raw.select("doc_id", "text", decoded(F.col("raw")).alias("d"), "raw")
+    again = back.select("doc_id", (F.col("text") == F.col("d.content")).alias("same"), F.col("d.encoding").alias("encoding"), encoded(F.col("d.content"), F.lit("utf-8")).alias("out"), "text")
+    return again.groupBy("encoding").agg(F.count("*").alias("n"), F.count_if("same").alias("same"), F.count_if(F.col("out") == F.encode("text", "UTF-8")).alias("out_same"))
+
+
+SPARK_PATHS = "CASE p_partkey % 4 WHEN 0 THEN concat('config.', p_partkey, '.yaml') WHEN 1 THEN concat('lib/', p_partkey, '.jar') WHEN 2 THEN concat('src/', p_partkey, '.py') ELSE concat('.env.', p_partkey, '.example') END AS path"
+
+
+@query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'config.' || p_partkey || '.yaml' ELSE 'lib/' || p_partkey || '.jar' END AS path FROM part WHERE p_partkey % 4 < 2 AND p_size > 25")
+def forbidden_output_files(spark, sf_dir):
+    """Files marked for deletion that an output, here of the larger parts, still has."""
+    parts = table(spark, sf_dir, "part")
+    items = inventory.inventory(parts.selectExpr(SPARK_PATHS, "1L AS size"))
+    return audit.forbidden_files(items, parts.where("p_size > 25").selectExpr(SPARK_PATHS))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(SQL_ASSIGN)}, 1)) AS value FROM documents) SELECT sha256(value) AS value_hash FROM d
+WHERE NOT regexp_full_match(value, '\\d+([.]\\d+){{1,3}}') AND NOT (regexp_full_match(value, '[A-Za-z_]\\w*') AND length(value) < 6)
+  AND NOT (regexp_full_match(value, '[A-Za-z_]\\w*') AND (SELECT -sum(k / n * log2(k / n)) FROM (SELECT count(*) AS k, length(value) AS n FROM (SELECT unnest(string_split(value, '')) AS c) GROUP BY c)) < 3.2)
+  AND NOT (regexp_full_match(value, '[A-Za-z\\d]([A-Za-z\\d-]{{0,61}}[A-Za-z\\d])?([.][A-Za-z\\d]([A-Za-z\\d-]{{0,61}}[A-Za-z\\d])?)+') AND regexp_matches(value, '[^\\d.]'))"""
+)
+def literal_harvest(spark, sf_dir):
+    """Secret values fit for replacement wherever they occur."""
+    rule = BY_NAME["config_assignment_secret"]
+    values = docs(spark, sf_dir).select(F.explode(detect.rule_spans(F.col("text"), rule, whole=False)).alias("f")).select("f.value")
+    return rewrite.safe_literals(values).select(sha("value").alias("value_hash"))
