@@ -40,7 +40,7 @@ class TemplateError(ValueError):
     pass
 
 
-# ---- parsing ---------------------------------------------------------------------------------------------------------
+# == parsing ==
 
 _TAG = re.compile(r"\{\{-?|\{%-?|\{#")
 _LEX = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>|.()\[\],=]))""", re.S)
@@ -59,7 +59,7 @@ def _lex(code: str) -> list[tuple[str, str]]:
     return out
 
 
-def _segments(source: str) -> list[tuple[str, str]]:
+def _segments(source: str) -> list:
     """('text' | 'expr' | 'tag', content), white space trimmed as asked for."""
     out, at, trim = [], 0, False
     while at < len(source):
@@ -251,7 +251,7 @@ def parse(source: str, filters: dict[str, Callable]) -> list:
     return block()[0]
 
 
-# ---- folding and closures --------------------------------------------------------------------------------------------
+# == folding and closures ==
 
 
 def _show(v) -> str:
@@ -422,7 +422,7 @@ def _step(node: tuple, filters: dict[str, Callable], learn: bool) -> Renderer:
     return loop
 
 
-# ---- the format ------------------------------------------------------------------------------------------------------
+# == the format ==
 
 
 def escape(text: str | None) -> str:

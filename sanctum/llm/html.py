@@ -209,7 +209,7 @@ def parse(source: str) -> Node:
     return root
 
 
-# ---- wrappers --------------------------------------------------------------------------------------------------------
+# == wrappers ==
 # A wrapper node is a list [label, optional, repeated, kids]; a slot ["#text" or "#link", optional, repeated, [n, hash, chars, links]]
 # with hash 0 once texts differ.
 

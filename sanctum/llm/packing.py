@@ -41,7 +41,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# ---- tokenizing ------------------------------------------------------------------------------------------------------
+# == tokenizing ==
 
 
 class WordEncoder:
@@ -183,7 +183,7 @@ def _tokenize(docs: DataFrame, path: str, window: int, cell: int, end_id: int) -
     return source.mapInArrow(run, f"doc_id {id_type(source, 'doc_id')}, n long, crcs binary, chunk long, bin long, rank long, windows_before long")
 
 
-# ---- CRC-32 of joined runs -------------------------------------------------------------------------------------------
+# == CRC-32 of joined runs ==
 
 
 def _shift_tables(n_bytes: int) -> np.ndarray:
@@ -232,7 +232,7 @@ class CrcJoiner:
         return out
 
 
-# ---- the plan --------------------------------------------------------------------------------------------------------
+# == the plan ==
 
 
 def combinations(total: int, bins: list[int], depth: int = 3) -> list[tuple[int, ...]]:

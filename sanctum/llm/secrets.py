@@ -63,7 +63,7 @@ def _pypi(token: bytes) -> bool:
 RULES = [
     ("assign", [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"], re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), lambda m: len(m[2]) >= 6),
     ("access", [b"akia"], re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    ("github", [b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"], re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _crc62(m[0])),
+    ("github", [b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"], re.compile(rb"gh[oprsu]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: _crc62(m[0])),
     ("npm", [b"npm_"], re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _crc62(m[0])),
     ("jwt", [b"eyj"], re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: _jwt(m[0])),
     ("pypi", [b"pypi-"], re.compile(rb"pypi-[A-Za-z0-9_-]{50,}"), lambda m: _pypi(m[0])),
@@ -129,7 +129,7 @@ def spans(data: bytes | None) -> list[tuple[int, int, str, int]]:
     return found
 
 
-def to_chars(data: bytes, found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str]]:
+def to_chars(data: bytes, found: list) -> list:
     """Byte spans in code points."""
     if data.isascii():
         return [(a, b, k) for a, b, k, _ in found]

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(source, make, f"doc_id {id_type(source, 'doc_id')}, fp long")
 
 
-# ---- bit-sliced comparison -------------------------------------------------------------------------------------------
+# == bit-sliced comparison ==
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:

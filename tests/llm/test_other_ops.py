@@ -10,7 +10,7 @@ import pytest
 
 from sanctum.llm import chat, html, tokens, topk, warc
 
-# ---- HTML ------------------------------------------------------------------------------------------------------------
+# == HTML ==
 
 
 def page(host, i, article, extra="", wrap="article", aside=True):
@@ -72,7 +72,7 @@ def test_html_odd_markup(source):
     html.extract(html.parse(source), html.finish(html.skeleton(html.parse(source))))
 
 
-# ---- token counts ----------------------------------------------------------------------------------------------------
+# == token counts ==
 
 
 def brute_count(word, scores, byte_score):
@@ -101,7 +101,7 @@ def test_token_counts(spark):
     assert [n for _, n in small.counts([r.encode() for r in rows[4:]])] == [got[i][1] for i in range(4, len(rows))]
 
 
-# ---- WARC ------------------------------------------------------------------------------------------------------------
+# == WARC ==
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -136,7 +136,7 @@ def test_bundle_without_seek_table():
         warc.BundleReader(Source(b"x" * 100))
 
 
-# ---- top-k search ----------------------------------------------------------------------------------------------------
+# == top-k search ==
 
 
 def brute_top(vectors, k=10, every=100):
@@ -175,7 +175,7 @@ def test_top_k_beyond_doubles(spark):
     }
 
 
-# ---- chat formatting -------------------------------------------------------------------------------------------------
+# == chat formatting ==
 
 
 def test_template_language():

@@ -23,7 +23,7 @@ def table(spark, texts, sources=None):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-# ---- near duplicates -------------------------------------------------------------------------------------------------
+# == near duplicates ==
 
 
 def brute_fingerprint(text):
@@ -102,7 +102,7 @@ def test_empty_tables(spark):
     assert mixing.mix(sized, mixing.cycle_weights).collect() == []
 
 
-# ---- secrets ---------------------------------------------------------------------------------------------------------
+# == secrets ==
 
 
 def brute_base(text):
@@ -147,7 +147,7 @@ def test_secret_checksums():
     assert secrets.mask(f"a {good} password = hunter22!".encode()) == b"a [REDACTED] password = [REDACTED]!"
 
 
-# ---- quality ---------------------------------------------------------------------------------------------------------
+# == quality ==
 
 
 def brute_quality(text):
@@ -177,7 +177,7 @@ def test_quality_verdict():
     assert not quality.examine(b" ".join(b"word%d!!" % i for i in range(40)))[6]
 
 
-# ---- mixing ----------------------------------------------------------------------------------------------------------
+# == mixing ==
 
 
 def test_word_counts():
@@ -215,7 +215,7 @@ def test_flow_routes_overlaps():
     assert sum(flow) == pytest.approx(200) and max(f / n for f, (_, n) in zip(flow, patterns)) <= 1 + 1e-9  # nothing repeats while fresh documents do
 
 
-# ---- packing ---------------------------------------------------------------------------------------------------------
+# == packing ==
 
 
 def test_word_encoder_is_the_tokenizer():
