@@ -88,6 +88,10 @@ def entropy(value: Column) -> Column:
     return F.when(F.length(value) > 0, bind(F.split(value, ""), of)).otherwise(F.lit(0.0))
 
 
+#: Of the last check digit of a taxpayer number; those before it use the tail.
+WEIGHTS = [int(x, 16) for x in "372 4a3 594 68".replace(" ", "")]
+
+
 def _weighted(d: Column, weights: list[int]) -> Column:
     w = F.array(*[F.lit(x) for x in weights])
     return F.aggregate(F.zip_with(F.slice(d, 1, len(weights)), w, lambda a, b: a * b), F.lit(0), lambda a, x: a + x) % 11 % 10
@@ -102,8 +106,8 @@ def ru_legal_id(value: Column) -> Column:
         head = lambda k: F.substring(value, 1, k).cast("long")
         year = F.substring(value, 2, 2).cast("int")
         years = year.between(1, 35) | year.between(93, 99)
-        ten = _weighted(d, [2, 4, 10, 3, 5, 9, 4, 6, 8]) == at(9)
-        twelve = (_weighted(d, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == at(10)) & (_weighted(d, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == at(11))
+        ten = _weighted(d, WEIGHTS[2:]) == at(9)
+        twelve = (_weighted(d, WEIGHTS[1:]) == at(10)) & (_weighted(d, WEIGHTS) == at(11))
         thirteen = years & (head(12) % 11 % 10 == at(12).cast("long"))
         fifteen = years & (head(14) % 13 % 10 == at(14).cast("long"))
         same = F.size(F.array_distinct(d)) == 1

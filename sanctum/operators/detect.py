@@ -18,10 +18,10 @@ from ..functions.spans import any_of, bind, inside, line_of, spans
 from ..rules import GENERIC_INTERNAL, GENERIC_LABELS, HOST_RULES, INTERNAL_TLDS, LEGAL_FORMS, UNIVERSAL_HOSTS, Rule, Rulepack
 
 FOUND = "array<struct<detector:string,rule:string,category:string,severity:string,start:int,end:int,value:string>>"
-IPV4 = r"(?<![\w.])\d{1,3}(?:[.]\d{1,3}){3}(?![\w.])"
+IPV4 = r"(?<![.\w])\d{1,3}(?:[.]\d{1,3}){3}(?![.\w])"
 URL_HOST = r"(?i)(https?://)(?:([^\s\"'/<>@]*)@)?(\[[\d.:a-f]+\]|[^\s\"'#/:<>?\\]+)"
 DOMAIN = r"\b(?:[A-Za-z\d](?:[A-Za-z\d-]{0,61}[A-Za-z\d])?[.])+[A-Za-z]{2,}\b"
-DIGIT_RUN = r"(?<![\w.])(?:\d{15}|\d{12,13}|\d{10})(?![\w.])"
+DIGIT_RUN = r"(?<![.\w])\d{10}(?:\d{5}|\d{2,3})?(?![.\w])"
 
 
 def lit_array(values: Sequence[str]) -> Column:
@@ -304,7 +304,7 @@ def ner_findings(targets: DataFrame, id_col: str, model: Model = capitalised_mod
     return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, label string, category string, severity string, start int, end int, value string")
 
 
-IPV6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])"
+IPV6 = r"(?<![.:\w])(?:[A-Fa-f\d]{0,4}:){2,7}[A-Fa-f\d]{0,4}(?![.:\w])"
 
 
 def ipv6_findings(targets: DataFrame, id_col: str, keep: Sequence[str] = ()) -> DataFrame:

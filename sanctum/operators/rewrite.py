@@ -22,7 +22,7 @@ from .detect import IPV4, IPV6, URL_HOST, guard_of, kept_host, lit_array
 
 #: The order in which whole texts are scrubbed.
 ORDER = ["email", "phone", "host", "grouped", "param", "luhn", "named"]
-AUTHORITY = r"^((?:[A-Za-z][\w+.-]*:)?[A-Za-z][\w+.-]*://)(?:([^\s/@]*)@)?(\[[\d.:A-Fa-f]+\]|[^\s#/:?]+)"
+AUTHORITY = r"^((?:[a-zA-Z][+.\w-]*:){1,2}//)(?:([^\s/@]*)@)?(\[[\d.:A-Fa-f]+\]|[^\s#/:?]+)"
 
 
 def rewritable(category: str | Column) -> Column:
@@ -47,7 +47,7 @@ def manifest(targets: DataFrame, found: Column, salt: bytes) -> DataFrame:
     return targets.select(*keys, F.explode(edits_of(found, salt)).alias("e")).select(*keys, "e.start", "e.end", "e.replacement")
 
 
-# ---- whole texts -----------------------------------------------------------------------------------------------------
+# == whole texts ==
 
 
 def _host_mask(salt: bytes, value: Column, keep: Sequence[str]) -> Column:
@@ -149,7 +149,7 @@ def safe_literals(values: DataFrame, basenames: DataFrame | None = None, declare
     return out
 
 
-# ---- brand maps ------------------------------------------------------------------------------------------------------
+# == brand maps ==
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def match_case(found: Column, replacement: str) -> Column:
     return (
         F.when(letters & (found == F.upper(found)) & (found != F.lower(found)), F.lit(replacement.upper()))
         .when(letters & (found == F.lower(found)) & (found != F.upper(found)), F.lit(replacement.lower()))
-        .when(titled, F.lit(replacement[:1].upper() + replacement[1:].lower()))
+        .when(titled, F.lit(replacement.capitalize()))
         .otherwise(F.lit(replacement))
     )
 
@@ -205,7 +205,7 @@ def residual(df: DataFrame, column: str, brands: Iterable[Brand], max_report: in
     return df.where(hit).limit(max_report)
 
 
-# ---- identities, paths and refs --------------------------------------------------------------------------------------
+# == identities, paths and refs ==
 
 
 def author_name(name: Column, salt: bytes) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.masks import keyed_hash, mask, sql_keyed_hash, value_hash
-from .functions.predicates import entropy, ranges, ru_legal_id
+from .functions.predicates import WEIGHTS, entropy, ranges, ru_legal_id
 from .functions.spans import inside, line_of, merge_zones, spans
 from .operators import audit, batch, detect, inventory, rewrite, zones
 from .rules import BY_NAME, GENERIC_INTERNAL, INTERNAL_TLDS, KEYWORDS, RULES, UNIVERSAL_HOSTS, Rulepack
@@ -79,7 +79,7 @@ def sha(c: str):
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
-# ---- regular-expression rules ----------------------------------------------------------------------------------------
+# == regular-expression rules ==
 
 
 @query(f"WITH {sql_spans('f', 'documents', 'doc_id', 'text', EMAIL)} SELECT doc_id, {SQL_LINE} AS line, s AS offset_start, CAST(s + length(value) AS INTEGER) AS offset_end, sha256(value) AS value_hash FROM f")
@@ -172,7 +172,7 @@ def regex_lookaround_catalogue(spark, sf_dir):
     return df.select("id", "rule", n.alias("n"))
 
 
-# ---- endpoints -------------------------------------------------------------------------------------------------------
+# == endpoints ==
 
 
 def sql_public(v: str) -> str:
@@ -252,7 +252,7 @@ def endpoint_containment_dedupe(spark, sf_dir):
     return detect.contained_window(s.distinct(), "id")
 
 
-# ---- checksums, dictionaries, paths ----------------------------------------------------------------------------------
+# == checksums, dictionaries, paths ==
 
 
 def _w(v: str, weights: list[int]) -> str:
@@ -263,8 +263,8 @@ def sql_legal(v: str) -> str:
     d = lambda i: f"CAST(substr({v}, {i}, 1) AS INTEGER)"
     year = f"(CAST(substr({v}, 2, 2) AS INTEGER) BETWEEN 1 AND 35 OR CAST(substr({v}, 2, 2) AS INTEGER) BETWEEN 93 AND 99)"
     return (
-        f"(length(replace({v}, substr({v}, 1, 1), '')) > 0 AND CASE length({v}) WHEN 10 THEN {_w(v, [2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(10)} "
-        f"WHEN 12 THEN {_w(v, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(11)} AND {_w(v, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} = {d(12)} "
+        f"(length(replace({v}, substr({v}, 1, 1), '')) > 0 AND CASE length({v}) WHEN 10 THEN {_w(v, WEIGHTS[2:])} = {d(10)} "
+        f"WHEN 12 THEN {_w(v, WEIGHTS[1:])} = {d(11)} AND {_w(v, WEIGHTS)} = {d(12)} "
         f"WHEN 13 THEN {year} AND CAST(substr({v}, 1, 12) AS BIGINT) % 11 % 10 = {d(13)} WHEN 15 THEN {year} AND CAST(substr({v}, 1, 14) AS BIGINT) % 13 % 10 = {d(15)} ELSE false END)"
     )
 
@@ -326,7 +326,7 @@ def kept_org_rule(spark, sf_dir):
     return spark.createDataFrame([(o,) for o in ORGS], "name string").select("name", detect.kept_org(F.col("name"), ["yandex", "google", "apple"]).alias("kept"))
 
 
-# ---- zones -----------------------------------------------------------------------------------------------------------
+# == zones ==
 
 SQL_ZONES = f"""{sql_spans('c1', 'documents', 'doc_id', 'text', '(?m)#[^' + chr(92) + 'n]*$')}, {sql_spans('c2', 'documents', 'doc_id', 'text', '(?m)//[^' + chr(92) + 'n]*$')}, {sql_spans('c3', 'documents', 'doc_id', 'text', '(?m)--[^' + chr(92) + 'n]*$')},
 z AS (SELECT doc_id, s, CAST(s + length(value) AS INTEGER) AS e FROM c1 UNION ALL SELECT doc_id, s, CAST(s + length(value) AS INTEGER) FROM c2 UNION ALL SELECT doc_id, s, CAST(s + length(value) AS INTEGER) FROM c3),
@@ -358,7 +358,7 @@ def zone_filtered_findings(spark, sf_dir):
     return zoned.unionByName(free).select("doc_id", F.col("f.start").alias("offset_start"))
 
 
-# ---- rewrites --------------------------------------------------------------------------------------------------------
+# == rewrites ==
 
 PACK = Rulepack().only("email", "credit_card", "config_assignment_secret")
 
@@ -446,7 +446,7 @@ def key_disambiguation(spark, sf_dir):
     return rewrite.disambiguate(named, "n_name", ["s_suppkey"]).select("s_suppkey", "key")
 
 
-# ---- inventory, sources, joins ---------------------------------------------------------------------------------------
+# == inventory, sources, joins ==
 
 SQL_PATHS = "SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'src/' || p_partkey || '.py' WHEN 1 THEN 'config.' || p_partkey || '.yaml' WHEN 2 THEN 'docs/a' || p_partkey || '.md' WHEN 3 THEN 'img/' || p_partkey || '.png' WHEN 4 THEN 'lib/' || p_partkey || '.jar' WHEN 5 THEN '.env.example' WHEN 6 THEN 'CODEOWNERS' ELSE 'settings/' || p_partkey || '.toml' END AS path, CAST(p_size * 1000000 AS BIGINT) AS size FROM part"
 
@@ -543,7 +543,7 @@ def scope_semi_join(spark, sf_dir):
     return batch.in_scope(table(spark, sf_dir, "nation"), scope, "n_regionkey").select("n_nationkey", "n_name")
 
 
-# ---- without SQL -----------------------------------------------------------------------------------------------------
+# == without SQL ==
 
 
 @query()

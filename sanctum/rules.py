@@ -27,7 +27,7 @@ class Rule:
 
 
 _NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![A-Za-z\d])", r"(?![A-Za-z\d])"
-KEYWORDS = "access[_-]?key(?:[_-]?id)?|api[_-]?key|apikey|app[_-]?key|auth[_-]?(?:token|key)|client[_-]?secret|pass(?:phrase|word|wd)|private[_-]?key|pwd|secret(?:[_-]?key)?|token|[-._]salt"
+KEYWORDS = "access[-_]?key(?:[-_]?id)?|apikey|(?:api|app)[-_]?key|auth[-_]?(?:token|key)|client[-_]?secret|pass(?:phrase|word|wd)|private[_-]?key|pwd|secret(?:[_-]?key)?|token|[-._]salt"
 _NOT_MASKED = r"(?!ANON_(?:ORG|PER)_|Author_|REDACTED_|TERM_|author_|user_[\da-f])"
 _NOT_PLACEHOLDER = r"(?!(?:0{4,}\b|ENV\[|[Xx*]{3,}\b|app[-_](?:secret|key|id)\b|change[-_]?me|config\(|disabled|enabled|env\(|example|false|getenv|nil|none|null|os[.]environ|password\b|placeholder|process[.]env|secret\b|token\b|true|undefined|your[-_])[\s\"',;#}]?)"
 _URL_REST = r"[^\s\"'<>]+"
@@ -49,7 +49,7 @@ RULES: list[Rule] = [
     _pii("ssn", r"\b(?!9\d\d|666|000)\d{3}-(?!00)\d\d-(?!0{4})\d{4}\b", "CRITICAL", guard=("-",)),
     _pii("credit_card", r"\b(?:3[47]\d\d|4\d{3}|5[1-5]\d\d|6011|65\d\d)(?:[-\s]?\d{4}){2}[-\s]?\d{3,4}\b", "CRITICAL", route="luhn"),
     _pii("iban", r"\b[A-Z]{2}\d\d[\dA-Z]{4}\d{7}[\dA-Z]{0,16}\b"),
-    _pii("passport_ru", r"\b\d{4}\s\d{6}\b", "CRITICAL"),
+    _pii("passport_ru", r"\b\d\d\d\d\s\d{6}\b", "CRITICAL"),
     _pii("inn_ru", r"\b(?:INN|ИНН)[\s:]*\d{10,12}\b", guard=("INN", "ИНН")),
     _pii("ogrn_ru", r"\b(?:OGRN|ОГРН)(?:IP|ИП)?[\s:№]*\d{13}(?:\d\d)?\b", guard=("OGRN", "ОГРН")),
     _pii("kpp_ru", r"\b(?:KPP|КПП)[\s:№]*\d{9}\b", guard=("KPP", "КПП")),
@@ -84,7 +84,7 @@ RULES: list[Rule] = [
     _endpoint("db_connection_redis", "rediss?", ("redis",)),
     _endpoint("db_connection_amqp", "amqps?", ("amqp",)),
     _endpoint("jdbc_url", "jdbc:[a-z]+", ("jdbc:",)),
-    _endpoint("internal_corp_url", "", (".internal", ".corp", ".local", ".intranet", ".lan"), "MEDIUM", r"https?://[.a-z\d-]+[.](?:corp|internal|intranet|lan|local)[\s/\"'<>]?"),
+    _endpoint("internal_corp_url", "", (".corp", ".internal", ".intranet", ".lan", ".local"), "MEDIUM", r"https?://[.a-z\d-]+[.](?:corp|internal|intranet|lan|local)[\s/\"'<>]?"),
 ]
 #: Rules whose hit on a kept host is no finding.
 HOST_RULES = {r.name for r in RULES if r.name.startswith("db_connection_") or r.name == "jdbc_url"}
@@ -134,7 +134,7 @@ class Rulepack:
     def domains(self) -> list[str]:
         return sorted({t.lower() for t in self.dictionaries.get("domains", ())})
 
-    def terms(self) -> list[tuple[str, str]]:
+    def terms(self) -> list:
         """(dictionary, lower-cased term) but for keep and domains, kept terms left out; the first of equal terms."""
         seen, out = set(self.keep), []
         for name, terms in self.dictionaries.items():

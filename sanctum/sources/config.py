@@ -25,7 +25,8 @@ def _load(path: Path):
         return json.loads(path.read_text(encoding="utf-8"))
     import yaml
 
-    return yaml.safe_load(path.read_text(encoding="utf-8"))
+    with path.open("rb") as f:
+        return yaml.safe_load(f)
 
 
 def load_rulepack(folder: str | Path) -> Rulepack:
@@ -84,7 +85,7 @@ def load_brand_map(path: str | Path) -> list[Brand]:
 
 
 def make_brand(row: dict) -> Brand:
-    flag = lambda v, default: default if v in (None, "") else v if isinstance(v, bool) else str(v).strip().lower() in ("1", "true", "yes", "y")
+    flag = lambda v, default: default if v in (None, "") else v if isinstance(v, bool) else str(v).strip().lower() in {"y", "yes", "true", "1"}
     is_regex = flag(row.get("is_regex"), True)
     if is_regex:
         try:

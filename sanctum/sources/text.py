@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import codecs
+import contextlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BOMS = [(codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
+#: Byte-order marks in hexadecimal; the longer ones first.
+MARKS = {"0000feff": "utf-32", "fffe0000": "utf-32", "efbbbf": "utf-8-sig", "feff": "utf-16", "fffe": "utf-16"}
 DECODED = "struct<content:string,encoding:string>"
 
 
-def decode_bytes(raw: bytes) -> tuple[str, str]:
+def decode_bytes(raw: bytes):
     """(text, encoding): by byte-order mark, else UTF-8, else cp1251, else UTF-8 with replacements."""
-    for bom, name in _BOMS:
-        if raw.startswith(bom):
-            try:
-                return raw.decode(name), name
-            except UnicodeDecodeError:
-                break
-    for name in ("utf-8", "cp1251"):
-        try:
-            return raw.decode(name), name
-        except UnicodeDecodeError:
-            pass
-    return raw.decode("utf-8", errors="replace"), "utf-8"
+    head = raw[:4].hex()
+    for name in [*[n for mark, n in MARKS.items() if head.startswith(mark)][:1], "utf-8", "cp1251"]:
+        with contextlib.suppress(UnicodeDecodeError):
+            return str(raw, name), name
+    return str(raw, "utf-8", "replace"), "utf-8"
 
 
 def decoded(data: Column) -> Column:

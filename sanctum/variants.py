@@ -9,9 +9,10 @@ import re
 
 SEPARATORS = ["", " ", "-", "_", "."]
 _TO_LATIN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" ")))
-_TO_CYRILLIC = [("shch", "щ"), ("yo", "ё"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("ch", "ч"), ("sh", "ш"), ("yu", "ю"), ("ya", "я")] + list(zip("abvgdeziyklmnoprstufhcjqwx", "абвгдезийклмнопрстуфхкжквх"))
+_TO_CYRILLIC = dict(zip("abvgdeziyklmnoprstufhcjqwx", "абвгдезийклмнопрстуфхкжквх")) | dict(x.split(":") for x in "ch:ч kh:х sh:ш shch:щ ts:ц ya:я yo:ё yu:ю zh:ж".split())
+_LATIN_UNIT = re.compile("|".join(sorted(_TO_CYRILLIC, key=len, reverse=True)))
 _WORDS = re.compile(r"[A-ZА-ЯЁ]+(?![a-zа-яё])|[A-ZА-ЯЁ]?[a-zа-яё]+|\d+")
-LATIN, CYRILLIC = re.compile(r"[A-Za-z]"), re.compile(r"[А-Яа-яЁё]")
+LATIN, CYRILLIC = (re.compile(f"[{signs}]", re.I) for signs in ("a-z", "а-яё"))
 
 
 def words(term: str) -> list[str]:
@@ -30,31 +31,20 @@ def transliterate(text: str) -> str | None:
     low = text.lower()
     if cyrillic:
         return "".join(_TO_LATIN.get(c, c) for c in low)
-    out, i = [], 0
-    while i < len(low):
-        for a, b in _TO_CYRILLIC:
-            if low.startswith(a, i):
-                out.append(b)
-                i += len(a)
-                break
-        else:
-            out.append(low[i])
-            i += 1
-    return "".join(out)
+    return _LATIN_UNIT.sub(lambda m: _TO_CYRILLIC[m[0]], low)
 
 
 def mojibake(text: str) -> str | None:
     """UTF-8 read as cp1251, unless signs are lost."""
     if text.isascii():
         return None
-    out = text.encode("utf-8").decode("cp1251", errors="replace")
+    out = str(text.encode(), "cp1251", "replace")
     return None if "�" in out else out
 
 
 def expand(term: str) -> set[str]:
     """All forms of a term, itself among them."""
-    term = term.strip()
-    if not term:
+    if not (term := term.strip()):
         return set()
     out = {term}
     for base in filter(None, (term, transliterate(term))):
