@@ -149,3 +149,38 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = None
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM d WHERE len(w) > 4
+), h AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS k FROM g
+), c AS (
+  SELECT r, count(DISTINCT i + o) AS again FROM h, (SELECT unnest(range(0, 5)) AS o) WHERE k > 1 GROUP BY r
+), l AS (
+  SELECT r, generate_subscripts(string_split(t, chr(10)), 1) AS pos, unnest(string_split(t, chr(10))) AS line FROM d
+), m AS (
+  SELECT r, pos, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l
+), n AS (
+  SELECT r, len(array_to_string(w, '')) AS chars, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup,
+    (len(w) < 10 AND NOT regexp_matches(w[-1], '[.!?…:;"'')\]»”’。！？]$'))
+    OR (len(w) <= 25 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PHRASES)}'))
+    OR (len(w) >= 10 AND 10 * len(list_distinct(w)) < 3 * len(w))
+    OR len(list_filter(w, lambda x: x IN ('|', '»', '›', '·'))) >= 2
+    OR (len(w) >= 4 AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 3 * len(w))
+    OR (len(w) >= 4 AND 10 * len(list_filter(w, lambda x: ends_with(x, '!!'))) > 3 * len(w)) AS bad
+  FROM m WHERE len(w) > 0
+), s AS (
+  SELECT r, sum(CASE WHEN dup THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN dup OR bad THEN chars ELSE 0 END) AS lost FROM n GROUP BY r
+), f AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * (word_chars - lost) >= {MIN_LEFT_PERCENT} * word_chars AS kept
+FROM f
+"""

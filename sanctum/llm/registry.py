@@ -16,4 +16,4 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op7_warc": warc.SQL, "op8_topk": topk.SQL, "op9_chat": chat.SQL}
+SQL = {"op7_warc": warc.SQL, "op8_topk": topk.SQL, "op9_chat": chat.SQL, "op10_quality": quality.SQL}
