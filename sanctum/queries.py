@@ -621,3 +621,212 @@ def literal_harvest(spark, sf_dir):
     rule = BY_NAME["config_assignment_secret"]
     values = docs(spark, sf_dir).select(F.explode(detect.rule_spans(F.col("text"), rule, whole=False)).alias("f")).select("f.value")
     return rewrite.safe_literals(values).select(sha("value").alias("value_hash"))
+
+
+# == predicates and masks over value tables ==
+
+TEMPLATES = [("amqp://%s:%s@h", True), ("{{ x }}", True), ("${HOST}", True), ("#{x}", True), ("{name}", True), ("<host>", True), ("%02d", True), ("plain text", False), ("a@b.c", False), ("50 percent", False), ("{two words}", False)]
+SHAPES = [("REDACTED_0123456789ab", True), ("REDACTED_EMAIL_0123456789ab", True), ("ANON_PER_0123456789ab", True), ("TERM_0123456789ab", True), ("postgres://0123abcd.example.invalid/x", True), ("REDACTED_short", False), ("TERM_xyz", False), ("example.com", False)]
+HOSTS = [("github.com", True), ("API.GitHub.com", True), ("localhost", True), ("prod-db-7", False), ("10.1.2.3", True), ("52.14.226.9", False), ("acme.com", False), ("x.storage.googleapis.com", False), ("db", True), ("notgithub.com", False), ("kept.org", True), ("a.kept.org", True)]
+
+
+def _values(rows) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({q(v)}, {str(x).lower()})" for v, x in rows) + ") AS t(value, holds)"
+
+
+def _holds(spark, rows, test):
+    return spark.createDataFrame([(v,) for v, _ in rows], "value string").select("value", test(F.col("value")).alias("holds"))
+
+
+@query(_values(TEMPLATES))
+def template_predicate(spark, sf_dir):
+    from .functions.predicates import is_template
+
+    return _holds(spark, TEMPLATES, is_template)
+
+
+@query(_values(SHAPES))
+def masked_predicate(spark, sf_dir):
+    from .functions.predicates import contains_mask
+
+    return _holds(spark, SHAPES, contains_mask)
+
+
+@query(_values(HOSTS))
+def kept_url_hosts(spark, sf_dir):
+    return _holds(spark, HOSTS, lambda v: detect.kept_host(v, ["kept.org"]))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS found FROM part")
+def version_context(spark, sf_dir):
+    """Quads in a version field are no addresses; a keyword in an earlier field, or too far back, doesn't count."""
+    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('Version=\"', p_size, '.0.0.9\"') WHEN 1 THEN 'version=\"1\"), bind 52.14.226.9' WHEN 2 THEN concat('version', repeat(' ', 60), '52.14.226.9') ELSE 'host 52.14.226.9' END")
+    parts = table(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
+    return parts.select("p_partkey", F.size(detect.public_ip_spans(F.col("t"))).alias("found"))
+
+
+@query(
+    f"""SELECT c_custkey, 'REDACTED_EMAIL_' || {sql_keyed_hash(SALT, 'c_name')} AS email, '+0000000000' AS phone, 'ANON_PER_' || {sql_keyed_hash(SALT, 'c_name')} AS person, 'ANON_ORG_' || {sql_keyed_hash(SALT, 'c_name')} AS org,
+{sql_keyed_hash(SALT, 'c_name', 8)} || '.example.invalid' AS endpoint, 'TERM_' || {sql_keyed_hash(SALT, 'c_name')} AS dictionary, 'REDACTED_' || {sql_keyed_hash(SALT, 'c_name')} AS secret, '2001:db8::' || {sql_keyed_hash(SALT, 'c_name', 4)} AS ipv6 FROM customer"""
+)
+def masks_by_kind(spark, sf_dir):
+    kinds = ["email", "phone", "person", "org", "endpoint", "dictionary", "secret", "ipv6"]
+    return table(spark, sf_dir, "customer").select("c_custkey", *(mask(SALT, k, F.col("c_name")).alias(k) for k in kinds))
+
+
+@query(f"SELECT c_custkey, 'postgres://' || {sql_keyed_hash(SALT, q('db') + ' || c_custkey || ' + q('.acme.com'))} || '.example.invalid:5432/app' AS url FROM customer")
+def connection_string_mask(spark, sf_dir):
+    urls = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('postgres://u:p', c_custkey, '@db', c_custkey, '.acme.com:5432/app') AS url")
+    return urls.select("c_custkey", rewrite.scrub_rule(F.col("url"), BY_NAME["db_connection_postgresql"], SALT).alias("url"))
+
+
+@query(f"SELECT s_suppkey, 'https://x.y/?sig=REDACTED_' || {sql_keyed_hash(SALT, q('v') + ' || s_suppkey')} || '&n=' || s_nationkey AS url FROM supplier")
+def url_param_mask(spark, sf_dir):
+    urls = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('https://x.y/?sig=v', s_suppkey, '&n=', s_nationkey) AS url")
+    return urls.select("s_suppkey", rewrite.scrub_rule(F.col("url"), BY_NAME["secret_url_param"], SALT).alias("url"))
+
+
+@query(f"SELECT n_nationkey, replace('in ' || n_name || ' x' || n_name, 'in CANADA ', 'in REDACTED_' || {sql_keyed_hash(SALT, q('CANADA'))} || ' ') AS text FROM nation")
+def literal_replace(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "concat('in ', n_name, ' x', n_name) AS text")
+    return rows.select("n_nationkey", rewrite.replace_literals(F.col("text"), ["CANADA"], SALT, "REDACTED_").alias("text"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'MAKER#' WHEN 1 THEN 'maker#' ELSE 'Maker#' END || substr(p_brand, 7) AS brand FROM part")
+def brand_case_preserved(spark, sf_dir):
+    named = F.expr("CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN lower(p_brand) ELSE p_brand END")
+    return table(spark, sf_dir, "part").select("p_partkey", rewrite.apply_brand_map(named, [rewrite.Brand("brand", "maker", False, True)]).alias("brand"))
+
+
+# == joins and state ==
+
+
+@query(f"WITH {FOUND_SQL}, i AS (SELECT CAST(doc_id AS VARCHAR) AS object_id, CASE WHEN doc_id % 3 = 0 THEN 'SKIP' ELSE 'SCAN' END AS action FROM documents) SELECT f.category, count(*) AS n FROM f JOIN i USING (object_id) WHERE f.scope = 'documents' AND i.action = 'SCAN' GROUP BY f.category")
+def findings_of_scanned_files(spark, sf_dir):
+    """Findings joined with the inventory by path: only what is scanned is rewritten."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, "SKIP").otherwise("SCAN").alias("action"))
+    found = audit_findings(spark, sf_dir).where("scope = 'documents'").select("path", "category")
+    return found.join(items.where("action = 'SCAN'").select("path"), "path", "left_semi").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'f' || o_orderkey AS path FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0")
+def parse_regressions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    before = orders.selectExpr("concat('f', o_orderkey) AS path", "o_orderkey % 2 = 0 AS valid")
+    after = orders.where("o_orderkey % 7 <> 0").selectExpr("concat('f', o_orderkey) AS path", "o_orderkey % 3 <> 0 AS valid")
+    return audit.parse_regressions(before, after)
+
+
+@query("SELECT n_name AS slug FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0)")
+def branches_lost(spark, sf_dir):
+    kept = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("slug"))
+    return audit.branches_lost(table(spark, sf_dir, "nation").select(F.col("n_name").alias("slug")), kept)
+
+
+@query("SELECT 'b' || o_orderkey AS branch, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'new' || o_orderkey WHEN o_orderkey % 3 = 0 THEN 'cur' || o_orderkey ELSE 'old' || o_orderkey END AS tip FROM orders")
+def ref_reconcile(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    tips = orders.selectExpr("concat('b', o_orderkey) AS branch", "concat('old', o_orderkey) AS tip")
+    moved = orders.where("o_orderkey % 2 = 0").selectExpr("concat('old', o_orderkey) AS old", "CASE WHEN o_orderkey % 4 = 0 THEN '0000' ELSE concat('new', o_orderkey) END AS new")
+    in_place = orders.where("o_orderkey % 3 = 0").selectExpr("concat('b', o_orderkey) AS b", "concat('cur', o_orderkey) AS current")
+    return rewrite.reconcile(tips, moved, in_place)
+
+
+@query("WITH f AS (SELECT regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([^./]+)$', 1) AS ext FROM pages) SELECT ext, count(*) AS n FROM f GROUP BY ext ORDER BY n DESC, ext LIMIT 20")
+def extension_histogram(spark, sf_dir):
+    """A report of the commonest extensions."""
+    return audit.extension_histogram(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("path")))
+
+
+@query("SELECT min(c_custkey) AS seq, c_mktsegment AS value FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 11 <> 0 GROUP BY c_mktsegment")
+def distinct_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey AS seq", "CASE WHEN c_custkey % 10 = 0 THEN concat('# ', c_mktsegment) WHEN c_custkey % 11 = 0 THEN '  ' ELSE concat(' ', c_mktsegment, ' ') END AS value")
+    return batch.distinct_lines(lines)
+
+
+@query(
+    """SELECT 'c' || o_orderkey AS object_id, path, content FROM (SELECT o_orderkey, unnest(['author_name', 'author_email', 'committer_name', 'message']) AS f, unnest(['A' || o_custkey, 'a' || o_custkey || '@x.test', 'C', o_orderpriority]) AS content FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-12-31') , LATERAL (SELECT '<commit:' || substr('c' || o_orderkey, 1, 8) || '/' || f || '>' AS path)"""
+)
+def commit_metadata_scan(spark, sf_dir):
+    from .sources.text import commits
+
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('c', o_orderkey) AS sha", "concat('A', o_custkey) AS author_name", "concat('a', o_custkey, '@x.test') AS author_email", "'C' AS committer_name", "CAST(NULL AS STRING) AS committer_email", "o_orderpriority AS message", "o_orderdate AS ts")
+    return commits(rows, "1995-01-01", "1995-12-31").drop("scope")
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS sha, arg_min('p' || l_suppkey, l_orderkey * 10 + l_linenumber) AS path FROM lineitem GROUP BY l_partkey")
+def unique_blobs(spark, sf_dir):
+    from .sources.text import blobs
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("CAST(l_partkey AS STRING) AS sha", "l_orderkey * 10 + l_linenumber AS seq", "concat('p', l_suppkey) AS path")
+    return blobs(rows).select("sha", "path")
+
+
+@query("SELECT DISTINCT regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages")
+def distinct_path_scan(spark, sf_dir):
+    from .sources.text import distinct_paths
+
+    return distinct_paths(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://[^/]*/", "").alias("path")))
+
+
+@query("SELECT doc_id, doc_id % 5 = 0 OR (doc_id % 5 = 1 AND octet_length(encode(text)) < 8192) AS is_binary FROM documents WHERE octet_length(encode(text)) <= 100000")
+def binary_and_size_filter(spark, sf_dir):
+    """Larger files are skipped; a NUL counts if it is within the first 8 KB."""
+    d = table(spark, sf_dir, "documents").where(F.octet_length(F.encode("text", "UTF-8")) <= 100_000)
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\0"), "text")).when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    return d.select("doc_id", inventory.is_binary(F.encode(text, "UTF-8")).alias("is_binary"))
+
+
+@query("SELECT 'SECRETS' AS gate, CAST(0 AS BIGINT) AS failing_count, true AS passed")
+def secret_gate_after_scrub(spark, sf_dir):
+    """No secret survives the scrubbing of all documents."""
+    from .plans.sanitise import secret_gate
+
+    secrets = [r for r in RULES if r.category == "SECRET"]
+    scrubbed = rewrite.scrub(document_targets(spark, sf_dir), "content", SALT, secrets, urls=False, public_ips=False)
+    gates_ = audit.count_gate("SECRETS", "no secrets", secret_gate(scrubbed))
+    return gates_.select("gate", "failing_count", "passed")
+
+
+@query(f"WITH {FOUND_SQL} SELECT scope, count(*) FILTER (category = 'PII') AS PII, count(*) FILTER (category = 'SECRET') AS SECRET FROM f GROUP BY scope")
+def category_pivot(spark, sf_dir):
+    return audit_findings(spark, sf_dir).groupBy("scope").pivot("category", ["PII", "SECRET"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("SELECT s_suppkey, regexp_replace(regexp_replace(regexp_extract(regexp_replace('git@host:grp/' || s_name || '.git/', '[/\\s]+$', ''), '([^/:]*)$', 1), '[.](git|bundle)$', ''), '[^\\w.-]+', '-', 'g') AS key FROM supplier")
+def batch_keys(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", batch.derive_key(F.concat(F.lit("git@host:grp/"), "s_name", F.lit(".git/"))).alias("key"))
+
+
+@query("SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 5 = 0 OR o_orderstatus <> 'F'")
+def retry_failed(spark, sf_dir):
+    return batch.retry(*_tasks(spark, sf_dir))
+
+
+@query()
+def sanitise_converges(spark, sf_dir):
+    """Findings that can be rewritten after sanitising all documents: none, by gate."""
+    from .plans.sanitise import sanitise
+
+    return sanitise(document_targets(spark, sf_dir), SALT, PACK).gates.select("gate", "failing_count", "passed")
+
+
+@query()
+def collision_free_refs(spark, sf_dir):
+    """Refs of pages by host: paths cut short collide and are told apart."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/(.*)$", 1).alias("name"))
+    slugs = pages.distinct().select("host", "name", F.regexp_replace(rewrite.ref_slug(F.col("name"), SALT), r"\d", "").alias("slug")).where("slug <> ''")
+    return rewrite.resolve_refs(slugs, group="host")
+
+
+@query("SELECT lang, count(*) AS n, count(*) AS same FROM documents GROUP BY lang")
+def report_sink_roundtrip(spark, sf_dir):
+    """Documents written as JSON lines and read again are the same texts."""
+    import uuid
+
+    path = f"{_shared(spark)}/report-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d.write.json(path)
+    back = spark.read.schema(d.schema).json(path).select("doc_id", F.xxhash64("text").alias("h"))
+    both = d.select("doc_id", "lang", F.xxhash64("text").alias("h0")).join(back, "doc_id")
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("h") == F.col("h0")).alias("same"))
