@@ -18,11 +18,14 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once."""
+    """Of each group of near duplicates the document with the smallest doc_id, once; rows of equal doc_id and text are one
+    document.  A document without doc_id stays unless its group has one with."""
     found = simhash.near_duplicates(simhash.fingerprints(docs))
-    kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "kept_id"), "kept")
-    out = docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id"))
+    kept = materialize(own.agg(F.count("*").alias("rows")), "kept")
+    # the side grows with the corpus, so it is merged, not broadcast, at any size
+    out = docs.join(kept.select("__kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.where("rows > 1").limit(1).count() else out
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +37,10 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that the mix takes, a row for each repetition."""
     sized = mixing.sizes(docs)
     mixed = mixing.mix(sized.select("doc_id", F.array("source").alias("sources"), "size"), mixing.cycle_weights)
-    taken = materialize(mixed.where("taken > 0").select(F.col("doc_id").alias("taken_id"), "copies"), "taken")
-    out = docs.join(taken, F.col("doc_id") == F.col("taken_id"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+    taken = materialize(mixed.where("taken > 0").groupBy(F.col("doc_id").alias("__taken_id")).agg(F.max("copies").alias("__copies")), "taken")
+    # the side grows with the corpus, so it is merged, not broadcast, at any size
+    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__taken_id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
