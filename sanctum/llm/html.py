@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import id_type, map_rows, materialize, read_table, slices
 
 SALTS, MAX_HOSTS, MAX_ALIGN = 32, 5000, 250_000
+#: A slot with one text is the site's if so many different pages have it.
+MIN_PAGES = 3
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed"}
@@ -210,8 +212,8 @@ def parse(source: str) -> Node:
 
 
 # == wrappers ==
-# A wrapper node is a list [label, optional, repeated, kids]; a slot ["#text" or "#link", optional, repeated, [n, hash, chars, links]]
-# with hash 0 once texts differ.
+# A wrapper node is a list [label, optional, repeated, kids]; a slot ["#text" or "#link", optional, repeated, [pages, hash, chars, links]]
+# with the smallest digests of the pages that have it, at most MIN_PAGES of them, and hash 0 once texts differ.
 
 
 def runs(labels: list[str]) -> list[tuple[str, list[list[int]]]]:
@@ -242,10 +244,12 @@ def runs(labels: list[str]) -> list[tuple[str, list[list[int]]]]:
     return [(label, reps if not label.startswith("(") else [[single[j][1] for j in rep] for rep in reps]) for label, reps in out]
 
 
-def skeleton(node: Node) -> list:
+def skeleton(node: Node, page: int | None = None) -> list:
+    if page is None:
+        page = zlib.crc32("\n".join(texts_of(node)).encode())
     if node.label in SLOTS:
-        return [node.label, 0, 0, [1, zlib.crc32(node.text.encode()) or 1, len(node.text), node.links]]
-    kids = [skeleton(k) for k in node.kids]
+        return [node.label, 0, 0, [[page], zlib.crc32(node.text.encode()) or 1, len(node.text), node.links]]
+    kids = [skeleton(k, page) for k in node.kids]
     out = []
     for label, reps in runs([k.label for k in node.kids]):
         if label.startswith("("):
@@ -259,14 +263,19 @@ def skeleton(node: Node) -> list:
     return [node.label, 0, 0, out]
 
 
+def texts_of(node: Node):
+    if node.label in SLOTS:
+        yield node.text
+    for k in node.kids:
+        yield from texts_of(k)
+
+
 def _join(nodes: list[list]) -> list:
     out = nodes[0]
     for n in nodes[1:]:
         out = merge(out, n)
     if len(nodes) > 1:
         out[2] = 1
-        if out[0] in SLOTS:
-            out[3][0] = 1
     return out
 
 
@@ -317,7 +326,7 @@ def merge(a: list, b: list) -> list:
     a[1], a[2] = a[1] | b[1], a[2] | b[2]
     if a[0] in SLOTS:
         s, t = a[3], b[3]
-        a[3] = [s[0] + t[0], s[1] if s[1] == t[1] else 0, s[2] + t[2], s[3] + t[3]]
+        a[3] = [sorted({*s[0], *t[0]})[:MIN_PAGES], s[1] if s[1] == t[1] else 0, s[2] + t[2], s[3] + t[3]]
         return a
     x, y = a[3], b[3]
     kids = []
@@ -354,13 +363,13 @@ def finish(w: list) -> list:
     def walk(node: list, level: int, dropped: str, links: bool) -> list:
         label = node[0]
         if label in SLOTS:
-            n, h, chars, link = node[3]
+            pages, h, chars, link = node[3]
             if dropped:
                 keep = -1
             elif level < 3:
                 keep = level
             else:
-                keep = -1 if varies and h and n >= 3 or 2 * link > chars else 3
+                keep = -1 if varies and h and len(pages) >= MIN_PAGES or 2 * link > chars else 3
             return [label, keep]
         kind = kind_of(label) if not label.startswith("(") else ""
         if kind == "strict":

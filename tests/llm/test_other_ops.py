@@ -44,7 +44,9 @@ def test_html_regions(spark):
 
 def test_html_without_article_uses_the_hosts_pages(spark):
     rows = [(f"http://plain.org/{i}", f"<body><div>Always here</div><div><p>Story {i} of words.</p><p>More {i}</p></div><div><a href=x>Link {i}</a> <a href=y>Link</a></div><div>{'<p>' if i % 2 else ''}</div></body>") for i in range(6)]
+    rows += [("http://plain.org/copy", "<body><div>Always here</div><div><p>Copied.</p></div><dl><dt>Term</dt></dl></body>")] * 4
     got = texts(spark, rows)
+    assert got[6] == got[9] == "Copied. Term"  # copies of one page are one page
     assert got[0] == "Story 0 of words. More 0" and got[3] == "Story 3 of words. More 3"
 
 
