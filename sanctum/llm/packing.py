@@ -18,11 +18,11 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_type, materialize, read_table, slices, utf8
 
 WINDOW, CELL, END_ID = 4096, 16, 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
@@ -47,12 +47,11 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of texts by a tokenizer that drops white space and never joins ids across it.
 
-    Distinct words go through the tokenizer once and their ids are kept, up to ``limit`` words, then all are dropped.
-    Words of letters below U+0300 are lowered and split here, which the tests hold against the tokenizer itself; others
-    go through its whole pipeline.
+    Distinct words go through the tokenizer once and their ids are kept.  Beyond ``limit`` words those seen once since the
+    last time are dropped.  Words of printable signs below U+0300 are lowered and split here, which the tests hold against
+    the tokenizer itself; others go through its whole pipeline.
     """
 
-    _SIMPLE = re.compile("[\x00-˿]*")
     _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -70,72 +69,83 @@ class WordEncoder:
         for token, i in self.parts.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
         self.word: dict[bytes, int] = {}
-        self.piece: dict[str, tuple[int, int]] = {}
-        self.pool = np.zeros(1 << 20, np.int32)
-        self.used = 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.pool, self.used = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.int32), 0
+        self.start, self.length, self.uses = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
-    def _store(self, ids: np.ndarray) -> int:
-        while self.used + len(ids) > len(self.pool):
+    def _room(self, words: int, ids: int) -> None:
+        while self.used + ids > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        at = self.used
-        self.pool[at : at + len(ids)] = ids
+        while words > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        at = len(self.word)
+        self._room(at + len(words), len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[at : at + len(words)] = self.used + np.cumsum(length) - length
+        self.length[at : at + len(words)] = length
+        self.uses[at : at + len(words)] = 0
+        self.word.update(zip(words, range(at, at + len(words))))
         self.used += len(ids)
-        return at
 
-    def _learn(self, words: list[bytes]) -> None:
-        simple, other = [], []
+    def _learn(self, words: Iterable[bytes]) -> None:
+        simple, pieces, counts, other = [], [], [], []
         for w in words:
             s = w.decode()
-            (simple if self._SIMPLE.fullmatch(s) else other).append(s)
-        split = [self._PIECES.findall(s.lower()) for s in simple]
-        new = list({p for ps in split for p in ps if p not in self.piece})
-        if new:
-            ids = np.array(self.parts.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(new):
-                raise ValueError("the tokenizer joined or dropped words")
-            at = self._store(ids)
-            self.piece.update(zip(new, zip((at + np.concatenate([[0], ends[:-1]])).tolist(), (at + ends).tolist())))
-        piece, at = self.piece, len(self.word)
-        while at + len(words) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        for s, ps in zip(simple, split):
-            self.word[s.encode()] = at
-            if len(ps) == 1:
-                a, b = piece[ps[0]]
+            if s.isprintable() and (s.isascii() or max(s) < "\u0300"):
+                simple.append(w)
+                low = s.lower()
+                if low.isalpha():
+                    pieces.append(low)
+                    counts.append(1)
+                else:
+                    own = self._PIECES.findall(low)
+                    pieces += own
+                    counts.append(len(own))
             else:
-                ids = [self.pool[slice(*piece[p])] for p in ps]
-                ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                a = self._store(ids)
-                b = a + len(ids)
-            self.start[at], self.length[at] = a, b - a
-            at += 1
+                other.append(w)
+        if simple:
+            ids = np.array(self.parts.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+            if len(ends) != len(pieces) + 1:
+                raise ValueError("the tokenizer joined or dropped words")
+            after = ends[np.cumsum(counts)]
+            self._add(simple, ids, np.diff(np.concatenate([[0], after])))
         if other:
-            for s, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-                self.word[s.encode()] = at
-                self.start[at], self.length[at] = self._store(np.array(e.ids, np.int32)), len(e.ids)
-                at += 1
+            found = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+            self._add(other, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
+
+    def _forget(self) -> None:
+        """Keep words used twice or more, at most half the limit; their uses count half from now on."""
+        n = len(self.word)
+        uses = self.uses[:n]
+        least = 2 if n <= self.limit else max(2, int(np.partition(uses, n - self.limit // 2)[n - self.limit // 2]))
+        keep = np.flatnonzero(uses >= least)[: self.limit]
+        names = list(self.word)
+        start, length, uses = self.start[keep].astype(np.int64), self.length[keep].astype(np.int64), uses[keep] // 2
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.pool[np.repeat(start - total[:-1], length) + np.arange(total[-1])].copy()
+        self.word, self.used = {}, 0
+        self._add([names[i] for i in keep.tolist()], ids, length)
+        self.uses[: len(keep)] = uses
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends in them."""
         words = [t.split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.word]
+        new = set().union(*words).difference(self.word)
         if len(self.word) + len(new) > self.limit and self.word:
-            self.clear()
-            new = list(set().union(*words))
+            self._forget()
+            new = set().union(*words).difference(self.word)
         if new:
             self._learn(new)
         n = sum(map(len, words))
-        at = np.fromiter((i for ws in words for i in map(self.word.__getitem__, ws)), np.int64, n)
-        start, length = self.start[at], self.length[at]
+        at = np.fromiter(map(self.word.__getitem__, chain.from_iterable(words)), np.int64, n)
+        self.uses[: len(self.word)] += np.bincount(at, minlength=len(self.word)).astype(np.int32)
+        start, length = self.start[at].astype(np.int64), self.length[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
-        return ids, total[np.cumsum([len(w) for w in words])]
+        return ids.astype(np.int64), total[np.cumsum([len(w) for w in words])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
