@@ -6,8 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = "file://" + tempfile.mkdtemp(prefix="sanctum-")
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    # with its scheme, so that Python workers open the same place as Spark
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -65,3 +72,74 @@ def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(uri)
+
+
+# == decisions on rows by their position ==
+#
+# A decision on documents made from short rows (a fingerprint, a size) has to find its way back to the texts.  A join would
+# shuffle them.  Rows of Parquet files have a position instead, the file and the row in it; decisions are written in the order
+# of positions, and each task that scans texts reads those of its own files.  No text is shuffled and nothing is broadcast.
+
+BUCKETS = 256
+
+
+def positioned(docs: DataFrame) -> DataFrame:
+    """docs with __file (a hash of the file's path) and __row; a table that isn't read from files is written first."""
+    position = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        return docs.select("*", *position)
+    except AnalysisException:
+        return materialize(docs, "positioned").select("*", *position)
+
+
+def row_id(docs: DataFrame, id_col: str) -> DataFrame:
+    """Positioned docs with __id: the id and, to tell rows of one id apart, the position."""
+    return docs.withColumn("__id", F.struct(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row")))
+
+
+def by_position(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """From positioned docs, rows as often as (file, row, copies) says; rows without a decision go.  The columns but for the
+    position stay as they are."""
+    path = new_path(docs.sparkSession, "decisions")
+    placed = decisions.select("file", "row", F.col("copies").cast("int").alias("copies"), F.pmod("file", F.lit(BUCKETS)).alias("b"))
+    placed.repartition("b").sortWithinPartitions("b", "file", "row").write.partitionBy("b").parquet(path)
+    kept = docs.drop("__file", "__row", "__id")
+    at_file, at_row = docs.columns.index("__file"), docs.columns.index("__row")
+    at = [docs.columns.index(c) for c in kept.columns]
+
+    def run(batches):
+        fs, root = open_fs(path)
+        file, rows, copies = None, None, None
+
+        def load(f: int):
+            folder = f"{root}/b={f % BUCKETS}"
+            if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            t = pa.dataset.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["row", "copies"], filter=pa.dataset.field("file") == f)
+            own, n = t["row"].to_numpy(), t["copies"].to_numpy()
+            order = np.argsort(own, kind="stable")
+            return own[order], n[order]
+
+        for b in slices(batches, 1024):
+            files, position = (b.column(i).to_numpy(zero_copy_only=False) for i in (at_file, at_row))
+            cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if files[i] != file:
+                    file = files[i]
+                    rows, copies = load(int(file))
+                if not len(rows):
+                    continue
+                found = np.minimum(np.searchsorted(rows, position[i:j]), len(rows) - 1)
+                n = np.where(rows[found] == position[i:j], copies[found], 0)
+                if n.any():
+                    yield b.select(at).take(pa.array(np.repeat(np.arange(i, j), n)))
+
+    return docs.mapInArrow(run, kept.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read_table
+from .common import new_path, open_fs, read_table
 
 QUERY_BLOCK, CANDIDATES, DIMS = 64, 16_384, 8
 EXACT = float(2**53)
@@ -111,8 +111,9 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
 def _query_blocks(path: str, rows: int):
     import pyarrow.dataset as ds
 
+    fs, root = open_fs(path)
     # batches of a dataset are read one by one
-    for batch in ds.dataset(path, format="parquet").to_batches(batch_size=rows, columns=["id", "v"], batch_readahead=1, fragment_readahead=1):
+    for batch in ds.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=rows, columns=["id", "v"], batch_readahead=1, fragment_readahead=1):
         if batch.num_rows:
             yield batch
 
@@ -122,7 +123,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     spark = vectors.sparkSession
     path = new_path(spark, "queries")
     queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).write.parquet(path)
-    folder = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
     def run(batches):
         held, n = [], 0
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         def answer():
             width = max(c.shape[1] for _, c in held)
             cid, c = np.concatenate([i for i, _ in held]), np.concatenate([_pad(c, width) for _, c in held])
-            for b in _query_blocks(folder, QUERY_BLOCK):
+            for b in _query_blocks(path, QUERY_BLOCK):
                 qid, q = scaled(b.column(0), b.column(1), scale)
                 if len(qid) and len(cid):
                     out = search_block(qid, q, cid, c, k)

@@ -21,12 +21,11 @@ import struct
 import uuid
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, materialize, new_path, read_table, slices
+from .common import id_type, materialize, new_path, open_fs, read_table, slices
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 29, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -34,12 +33,6 @@ DATE = "1970-01-01T00:00:00Z"
 INDEX = "bundle string, frame long, offset long, length long"
 
 
-def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    return pa.fs.FileSystem.from_uri(uri)
-
-
 class BundleWriter:
     """Appends records to frames; close() appends the seek table."""
 
