@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,23 +134,27 @@ def _order(name):
     return (name is None, name or "")
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit(t: pa.Table) -> pa.Table:
     """The last bucket of a pattern: documents in seeded order while they fit, then one more if that comes nearer."""
-    pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-    left, extra = float(pdf["gap"].iloc[0]), np.zeros(len(pdf), np.int64)
-    for i, size in enumerate(pdf["size"]):
-        if 0 < size <= left:
-            extra[i], left = 1, left - size
-    rest = pdf["size"].where((extra == 0) & (pdf["size"] > 0))
-    if rest.notna().any():
-        i = int((left - rest).abs().idxmin())
-        if abs(left - rest[i]) < left:
+    size = t["size"].to_numpy()
+    # equal hash and size: copies of one row, of which any may be taken
+    order = np.lexsort((size, t["h"].to_numpy()))
+    left, extra = float(t["gap"][0].as_py()), np.zeros(len(size), np.int64)
+    for i in order.tolist():
+        if 0 < size[i] <= left:
+            extra[i], left = 1, left - size[i]
+    rest = [i for i in order.tolist() if not extra[i] and size[i]]
+    if rest:
+        i = min(rest, key=lambda i: abs(left - size[i]))
+        if abs(left - size[i]) < left:
             extra[i] = 1
-    return pdf[["doc_id", "pattern", "size", "full"]].assign(extra=extra)
+    return t.select(["doc_id", "pattern", "size", "full"]).append_column("extra", pa.array(extra))
 
 
-def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed: int = 7, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """From (doc_id, sources array<string>, size): (doc_id, sources, size, taken).
+def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed: int = 7, max_patterns: int = MAX_PATTERNS, order_by: str = "doc_id") -> DataFrame:
+    """From (doc_id, sources array<string>, size): (doc_id, sources, size, taken, copies).
+
+    order_by: what of doc_id, which may be a struct, the seeded order depends on.
 
     weights: function of the sorted source names, a dict name -> weight.  share: budget as a part of all tokens.
     ``result.targets`` and ``result.source_sizes`` hold the quotas and sizes by source.
@@ -178,7 +181,7 @@ def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed:
         plan.append((r["pattern"], full, float(amount - full * r["tokens"]), max(1, -(-r["n"] // BUCKET_ROWS))))
     plan_df = spark.createDataFrame(plan, "p string, full long, rest double, buckets long")
     # at most max_patterns short rows
-    placed = rows.join(F.broadcast(plan_df), F.col("pattern") == F.col("p")).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    placed = rows.join(F.broadcast(plan_df), F.col("pattern") == F.col("p")).withColumn("h", F.xxhash64(order_by, F.lit(seed)))
     placed = placed.withColumn("bucket", F.pmod("h", "buckets"))
     from pyspark.sql import Window
 
@@ -190,7 +193,7 @@ def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed:
     whole = marked.where("eb is null or bucket <> eb").select("doc_id", "pattern", "size", "full", F.when(F.col("bucket") < F.col("eb"), 1).otherwise(0).cast("long").alias("extra"))
     kind = id_type(rows, "doc_id")
     last = marked.where("bucket = eb").select("doc_id", "pattern", "size", "full", "h", "gap", "bucket")
-    last = last.groupBy("pattern", "bucket").applyInPandas(_fit, f"doc_id {kind}, pattern string, size long, full long, extra long")
+    last = last.groupBy("pattern", "bucket").applyInArrow(_fit, f"doc_id {kind}, pattern string, size long, full long, extra long")
     taken = whole.unionByName(last).withColumn("taken", (F.col("full") + F.col("extra")) * F.col("size"))
     # the members are read back from the plan: one short row a pattern
     sources = spark.createDataFrame([(r["pattern"], list(r["sources"])) for r in head], "sp string, sources array<string>")
