@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sanctum.llm import mixing, packing, quality, secrets, simhash
-from sanctum.llm.common import materialize, read_table
+from sanctum.llm.common import by_position, materialize, positioned, read_table, row_id
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +18,11 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once; rows of equal doc_id and text are one
-    document.  A document without doc_id stays unless its group has one with."""
-    found = simhash.near_duplicates(simhash.fingerprints(docs))
-    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id"))
-    kept = materialize(own.agg(F.count("*").alias("rows")), "kept")
-    # the side grows with the corpus, so it is merged, not broadcast, at any size
-    out = docs.join(kept.select("__kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if kept.where("rows > 1").limit(1).count() else out
+    """Of each group of near duplicates the document with the smallest doc_id, once."""
+    placed = row_id(positioned(docs), "doc_id")
+    found = simhash.near_duplicates(simhash.fingerprints(placed, "__id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return by_position(placed, kept.select("doc_id.file", "doc_id.row", F.lit(1).alias("copies")))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +32,10 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, a row for each repetition."""
-    sized = mixing.sizes(docs)
-    mixed = mixing.mix(sized.select("doc_id", F.array("source").alias("sources"), "size"), mixing.cycle_weights)
-    taken = materialize(mixed.where("taken > 0").groupBy(F.col("doc_id").alias("__taken_id")).agg(F.max("copies").alias("__copies")), "taken")
-    # the side grows with the corpus, so it is merged, not broadcast, at any size
-    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__taken_id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    placed = row_id(positioned(docs), "doc_id")
+    sized = mixing.sizes(placed, "__id").select("doc_id", F.array("source").alias("sources"), "size")
+    mixed = mixing.mix(sized, mixing.cycle_weights, order_by="doc_id.id")
+    return by_position(placed, mixed.where("copies > 0").select("doc_id.file", "doc_id.row", "copies"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
