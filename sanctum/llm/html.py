@@ -54,7 +54,10 @@ LAYOUT = set("with has no without wrap wrapper layout container page content mai
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 CONTENT_NAMES = set("article article-body article-content article-text post-content post-body entry-content entry-body story-body story content-body main-content maincontent page-content article__body post__content content main".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|</?[a-zA-Z][^<>]*+\Z""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Tags are read with their quotes up to this length; longer ones end at the next '>'.
+TAG_CHARS = 2048
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SIGNS = re.compile(r"[^\w.@-]")
 _DIGITS = re.compile(r"\d+")
@@ -145,25 +148,48 @@ def parse(source: str) -> Node:
             if tags.pop() in PLAIN:
                 node.label += "[" + " ".join(sorted({k.label.partition("[")[0] for k in node.kids})) + "]"
 
-    at, size = 0, len(source)
-    while at < size:
-        m = _TOKEN.search(source, at)
-        end = m.start() if m else size
-        if end > at:
-            piece = html_lib.unescape(source[at:end]) if "&" in source[at:end] else source[at:end]
+    at, size, gt = 0, len(source), -1
+
+    def say(start: int, end: int):
+        nonlocal links
+        if end > start:
+            piece = source[start:end]
+            if "&" in piece:
+                piece = html_lib.unescape(piece)
             text.append(piece)
             if link:
                 links += len(piece)
-        if not m:
+
+    while at < size:
+        lt = source.find("<", at)
+        say(at, lt if lt >= 0 else size)
+        if lt < 0:
             break
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
+        if source.startswith(("<!--", "<![CDATA["), lt):
+            close_with, skip = ("-->", 4) if source[lt + 3] == "-" else ("]]>", 9)
+            end = source.find(close_with, lt + skip)
+            if skip == 9:
+                text.append(source[lt + 9 : end if end >= 0 else size])
+            at = end + 3 if end >= 0 else size
+            continue
+        if gt < lt and gt < size:
+            gt = source.find(">", lt)
+            gt = size if gt < 0 else gt
+        if source.startswith(("<!", "<?"), lt):
+            at = gt + 1
             continue
-        tag, attrs = tag.lower(), (m[3] or m[6] or "").strip().rstrip("/")
-        if m[1] or m[4]:
+        m = _TAG.match(source, lt, min(size, lt + TAG_CHARS))
+        if m:
+            closing, tag, attrs, at = m[1], m[2], m[3], m.end()
+        else:
+            m = _NAME.match(source, lt)
+            if not m or gt == size and source.find("<", lt + 1) >= 0:
+                text.append("<")  # no tag
+                at = lt + 1
+                continue
+            closing, tag, attrs, at = m[1], m[2], source[m.end() : gt], gt + 1
+        tag, attrs = tag.lower(), attrs.strip().rstrip("/")
+        if closing:
             if tag == "a":
                 link = 0
             if tag in tags:
