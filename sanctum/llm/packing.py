@@ -106,12 +106,17 @@ class WordEncoder:
             else:
                 other.append(w)
         if simple:
-            ids = np.array(self.parts.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+            # words share pieces: case and punctuation make many of one
+            code: dict[str, int] = {}
+            at = np.fromiter((code.setdefault(p, len(code)) for p in pieces), np.int64, len(pieces))
+            ids = np.array(self.parts.encode_batch_fast([" ".join(code)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-            if len(ends) != len(pieces) + 1:
+            if len(ends) != len(code) + 1:
                 raise ValueError("the tokenizer joined or dropped words")
-            after = ends[np.cumsum(counts)]
-            self._add(simple, ids, np.diff(np.concatenate([[0], after])))
+            length = np.diff(ends)[at]
+            total = np.concatenate([[0], np.cumsum(length)])
+            ids = ids[np.repeat(ends[at] - total[:-1], length) + np.arange(total[-1])]
+            self._add(simple, ids, np.diff(np.concatenate([[0], total[np.cumsum(counts)]])))
         if other:
             found = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
             self._add(other, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
