@@ -59,6 +59,7 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 #: Tags are read with their quotes up to this length; longer ones end at the next '>'.
 TAG_CHARS = 2048
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAMED = re.compile("class|id|role|hidden", re.I)
 _SIGNS = re.compile(r"[^\w.@-]")
 _DIGITS = re.compile(r"\d+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -73,10 +74,10 @@ PLAIN = {"div", "section", "span", "center", "td"}
 class Node:
     """A block of a page; slots, '#link' if most of it is links, hold the text and the length of its links."""
 
-    __slots__ = ("label", "kids", "text", "links")
+    __slots__ = ("label", "kids", "text", "links", "digest")
 
     def __init__(self, label: str):
-        self.label, self.kids, self.text, self.links = label, [], "", 0
+        self.label, self.kids, self.text, self.links, self.digest = label, [], "", 0, 0
 
 
 def region(tag: str, attrs: str) -> tuple[str, str]:
@@ -205,6 +206,9 @@ def parse(source: str) -> Node:
         if tag == "br":
             text.append(" ")
             continue
+        if tag in INLINE and not _NAMED.search(attrs):
+            link = 1 if tag == "a" else link
+            continue
         key = (tag, attrs)
         if key not in seen:
             seen[key] = region(tag, attrs)
@@ -272,9 +276,9 @@ def runs(labels: list[str]) -> list[tuple[str, list[list[int]]]]:
 
 def skeleton(node: Node, page: int | None = None) -> list:
     if page is None:
-        page = zlib.crc32("\n".join(texts_of(node)).encode())
+        page = digest(node, 0)
     if node.label in SLOTS:
-        return [node.label, 0, 0, [[page], zlib.crc32(node.text.encode()) or 1, len(node.text), node.links]]
+        return [node.label, 0, 0, [[page], node.digest, len(node.text), node.links]]
     kids = [skeleton(k, page) for k in node.kids]
     out = []
     for label, reps in runs([k.label for k in node.kids]):
@@ -289,11 +293,14 @@ def skeleton(node: Node, page: int | None = None) -> list:
     return [node.label, 0, 0, out]
 
 
-def texts_of(node: Node):
+def digest(node: Node, so_far: int) -> int:
+    """Sets the digests of all slots; that of the whole page, from theirs."""
     if node.label in SLOTS:
-        yield node.text
+        node.digest = zlib.crc32(node.text.encode()) or 1
+        so_far = zlib.crc32(node.digest.to_bytes(4, "big"), so_far)
     for k in node.kids:
-        yield from texts_of(k)
+        so_far = digest(k, so_far)
+    return so_far
 
 
 def _join(nodes: list[list]) -> list:
