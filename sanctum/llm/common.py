@@ -17,7 +17,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch, unless the session says otherwise: texts are long, and a batch is held by both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "1024")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +47,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, a lost executor costs nothing
     that was written, and the reader knows the size, so that Spark broadcasts it only below its threshold."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` with small batches in and out."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         for b in slices(batches, rows):

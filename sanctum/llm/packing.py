@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_type, materialize, read_table, slices, utf8
 
 WINDOW, CELL, END_ID = 4096, 16, 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def default_tokenizer() -> str:
