@@ -54,11 +54,14 @@ LAYOUT = set("with has no without wrap wrapper layout container page content mai
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 CONTENT_NAMES = set("article article-body article-content article-text post-content post-body entry-content entry-body story-body story content-body main-content maincontent page-content article__body post__content content main".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
-#: Tags are read with their quotes up to this length; longer ones end at the next '>'.
+#: Tags up to this length are matched at once, others read attribute by attribute; both find the same end.
 TAG_CHARS = 2048
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_PIECE = re.compile(r"""[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(["'])|[^\s>]++)?+)?+)?+""")
+#: Blocks nested deeper are read as text of the block around them, in regions of their own.
+MAX_DEPTH = 400
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
 _NAMED = re.compile("class|id|role|hidden", re.I)
 _SIGNS = re.compile(r"[^\w.@-]")
 _DIGITS = re.compile(r"\d+")
@@ -124,9 +127,46 @@ def kind_of(label: str) -> str:
     return "drop" if tag in DROP_TAGS else tag if tag in ("article", "main", "header") else ""
 
 
+def tag_end(source: str, at: int, failed: set[int]) -> int:
+    """The '>' that ends the tag whose name ends at ``at``, or -1: quotes count where a value begins.
+
+    ``failed`` holds the places between attributes from which no end was found, so that no page is read more than a few times.
+    """
+    passed = []
+    while at < len(source) and at not in failed:
+        if source[at] == ">":
+            return at
+        passed.append(at)
+        m = _PIECE.match(source, at)
+        at = m.end()
+        if m[1]:
+            at = source.find(m[1], at) + 1
+            if not at:
+                break
+    failed.update(passed)
+    return -1
+
+
+def below(regions: tuple[str, ...], tag: str, kind: str) -> tuple[str, ...]:
+    """The regions, outermost first, that a block adds to those around it; they do what all blocks between would do."""
+    last = regions[-1] if regions else ""
+    if last == "strict" or kind == "strict":
+        return ("strict",)
+    if kind in ("article", "main"):
+        return ("article",) if "article" in regions else (kind,)
+    if last == "drop":
+        return regions
+    if kind == "drop" or kind == "header" and last != "header" and last not in HEADINGS or kind == "content" and not regions:
+        return (*regions, kind)
+    return (*regions, tag) if tag in HEADINGS and last in ("", "header") else regions
+
+
 def parse(source: str) -> Node:
     root = Node("#page")
-    stack, tags = [root], ["#page"]
+    # blocks beyond MAX_DEPTH are in tags and have their regions in under, but no node
+    stack, tags, under = [root], ["#page"], []
+    places: dict[str, list[int]] = {}
+    failed: set[int] = set()
     text: list[str] = []
     link, links = 0, 0
     seen: dict[tuple[str, str], tuple[str, str]] = {}
@@ -138,17 +178,30 @@ def parse(source: str) -> Node:
             if whole:
                 slot = Node("#link" if 2 * links > sum(map(len, text)) else "#text")
                 slot.text, slot.links = whole, links
-                stack[-1].kids.append(slot)
+                around = stack[-1]
+                for name in under[-1] if under else ():
+                    around.kids.append(Node(f"div!{name}" if name in ("drop", "strict", "content") else name))
+                    around = around.kids[-1]
+                around.kids.append(slot)
             text.clear()
         links = 0
 
     def close(n: int):
         flush()
-        while len(stack) > n:
+        while len(tags) > n:
+            tag = tags.pop()
+            places[tag].pop()
+            if under:
+                under.pop()
+                continue
             node = stack.pop()
-            if tags.pop() in PLAIN:
+            if tag in PLAIN:
                 node.label += "[" + " ".join(sorted({k.label.partition("[")[0] for k in node.kids})) + "]"
 
+    def last(names) -> int:
+        """Where the innermost open block of these tags is, else 0."""
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
     at, size, gt = 0, len(source), -1
 
     def say(start: int, end: int):
@@ -179,7 +232,7 @@ def parse(source: str) -> Node:
         if source.startswith(("<!", "<?"), lt):
             at = gt + 1
             continue
-        m = _TAG.match(source, lt, min(size, lt + TAG_CHARS))
+        m = None if failed else _TAG.match(source, lt, min(size, lt + TAG_CHARS))
         if m:
             closing, tag, attrs, at = m[1], m[2], m[3], m.end()
         else:
@@ -188,13 +241,15 @@ def parse(source: str) -> Node:
                 text.append("<")  # no tag
                 at = lt + 1
                 continue
-            closing, tag, attrs, at = m[1], m[2], source[m.end() : gt], gt + 1
+            end = tag_end(source, m.end(), failed) if gt < size else gt
+            end = gt if end < 0 else end
+            closing, tag, attrs, at = m[1], m[2], source[m.end() : end], end + 1
         tag, attrs = tag.lower(), attrs.strip().rstrip("/")
         if closing:
             if tag == "a":
                 link = 0
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            if places.get(tag):
+                close(last((tag,)))
             elif tag not in INLINE:
                 flush()
             continue
@@ -220,23 +275,24 @@ def parse(source: str) -> Node:
             if tag not in INLINE:
                 flush()
             continue
-        if tag in CLOSES_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
+        if tag in CLOSES_P and places.get("p"):
+            close(last("p"))
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            for i in range(len(tags) - 1, 0, -1):
-                if tags[i] in bounds:
+            bound = last(bounds)
+            while (i := last(ends)) > bound:
+                close(i)
+                if tag != "tr":
                     break
-                if tags[i] in ends:
-                    close(i)
-                    if tag != "tr":
-                        break
         flush()
-        if len(stack) < 400:  # deeper nesting is read as text of the block around it
+        places.setdefault(tag, []).append(len(tags))
+        tags.append(tag)
+        if len(stack) < MAX_DEPTH:
             node = Node(label)
             stack[-1].kids.append(node)
             stack.append(node)
-            tags.append(tag)
+        else:
+            under.append(below(under[-1] if under else (), tag, kind))
     close(1)
     return root
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -214,3 +215,34 @@ def test_chat_round_trip(spark):
     assert chat.read_back(df.where("false")).collect() == []
     tied = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "user", "c"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(tied).first()["formatted"] == "".join(f"### User: {x}</turn>\n" for x in "caab")
+
+
+def page_text(source):
+    page = html.parse(source)
+    return " ".join(html.extract(page, html.finish(html.skeleton(page))))
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("n", [10, 2040, 2100, 300_000])
+def test_html_quotes_hide_markup_at_any_length(n, quote):
+    value = f"{quote}{'a' * n}<b>x</b><nav>tail{quote}"
+    for start in (f"<div data-props={value}>", f"<div data-props = {value} class=x>", f"<div data-props={value}/>"):
+        assert page_text(f"<article><p>Before.</p>{start}Real</div><p>After.</p></article>") == "Before. Real After."
+    # a quote counts only where a value begins, and an open one ends at the next '>'
+    assert page_text(f"<article><p don{quote}t {'b' * n}>It{quote}s</p><p>so{quote}s <b>told</b></p></article>") == f"It{quote}s so{quote}s told"
+    assert page_text(f"<article><p>One</p><p title={quote}{'a' * n}>Two</p></article>") == "One Two"
+
+
+@pytest.mark.parametrize("source", ['<a x=">" ' * 60_000, "<p a='>\" b=\"' " * 60_000, '<a x="' * 60_000 + ">", "<div>" * 60_000 + "<td>x</td>" * 60_000, "<p><div>" * 60_000])
+def test_html_is_linear(source):
+    began = time.time()
+    html.parse(source)
+    assert time.time() - began < 10
+
+
+def test_html_regions_below_the_deepest_block():
+    deep = 700
+    inner = "<nav>menu<div>more</div></nav><div class=comments><article>said</article></div><header>top<h2>Head</h2></header><div>kept</div>"
+    source = "<article><p>First.</p>" + "<div>" * deep + inner + "</div>" * deep + "<p>Last.</p></article><footer>end</footer>"
+    assert page_text(source) == "First. Head kept Last."
+    assert page_text("<nav>" + "<div>" * deep + "menu<main>Main</main>" + "</div>" * deep + "menu</nav>") == "Main"
