@@ -53,6 +53,9 @@ DROP_WORDS = STRICT | set(
 LAYOUT = set("with has no without wrap wrapper layout container page content main body col row grid".split())
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 CONTENT_NAMES = set("article article-body article-content article-text post-content post-body entry-content entry-body story-body story content-body main-content maincontent page-content article__body post__content content main".split())
+#: Ids that name a region even on an article or on a part of one, where ids are mostly targets of links.
+CLEAR_IDS = set("comment comments commentlist commentarea disqus respond sidebar navbar breadcrumb breadcrumbs pagination".split())
+BOXES = {"div", "ul", "ol", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
@@ -83,18 +86,29 @@ class Node:
         self.label, self.kids, self.text, self.links, self.digest = label, [], "", 0, 0
 
 
-def region(tag: str, attrs: str) -> tuple[str, str]:
-    """(label, class of region): '' plain, 'drop', 'strict', 'header', 'article', 'main', 'content'."""
+def region(tag: str, attrs: str, inside: bool = False) -> tuple[str, str]:
+    """(label, class of region): '' plain, 'drop', 'strict', 'header', 'article', 'main', 'content'.
+
+    Ids of headings and inline tags are targets of links and class nothing; nor do those of articles and, ``inside`` an
+    article, of all but plain boxes, unless they are in CLEAR_IDS.
+    """
     if not attrs:
         kind = "drop" if tag in DROP_TAGS else tag if tag in ("article", "main", "header") else ""
         return tag, kind
-    found = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    names = [*found.get("class", "").split(), *found.get("id", "").split()]
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
+    names, ids = found.get("class", "").split(), found.get("id", "").split()
     role = found.get("role", "").strip().lower()
-    shown = " ".join(sorted(_SIGNS.sub("_", _DIGITS.sub("0", n)) for n in names if n)) + (f" @{role}" if role else "")
+    shown = " ".join(sorted(_SIGNS.sub("_", _DIGITS.sub("0", n)) for n in [*names, *ids])) + (f" @{role}" if role else "")
     label = f"{tag}.{shown}" if shown else tag
     kind = ""
-    if tag in DROP_TAGS or role in DROP_ROLES or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs):
+    if tag in HEADINGS or tag in INLINE:
+        ids = []
+    elif tag == "article" or inside and (tag not in BOXES or "section" in names):
+        ids = [n for n in ids if n.lower() in CLEAR_IDS]
+    names = names + ids
+    if tag in DROP_TAGS or role in DROP_ROLES or "hidden" in found:
         kind = "drop"
     elif tag in ("html", "body"):
         kind = ""
@@ -169,7 +183,8 @@ def parse(source: str) -> Node:
     failed: set[int] = set()
     text: list[str] = []
     link, links = 0, 0
-    seen: dict[tuple[str, str], tuple[str, str]] = {}
+    seen: dict[tuple[str, str, bool], tuple[str, str]] = {}
+    articles: list[int] = []
 
     def flush():
         nonlocal links
@@ -191,6 +206,8 @@ def parse(source: str) -> Node:
         while len(tags) > n:
             tag = tags.pop()
             places[tag].pop()
+            if articles and articles[-1] == len(tags):
+                articles.pop()
             if under:
                 under.pop()
                 continue
@@ -264,9 +281,9 @@ def parse(source: str) -> Node:
         if tag in INLINE and not _NAMED.search(attrs):
             link = 1 if tag == "a" else link
             continue
-        key = (tag, attrs)
+        key = (tag, attrs, bool(articles))
         if key not in seen:
-            seen[key] = region(tag, attrs)
+            seen[key] = region(*key)
         label, kind = seen[key]
         if tag in INLINE and kind not in ("drop", "strict"):
             link = 1 if tag == "a" else link
@@ -286,6 +303,8 @@ def parse(source: str) -> Node:
                     break
         flush()
         places.setdefault(tag, []).append(len(tags))
+        if kind == "article":
+            articles.append(len(tags))
         tags.append(tag)
         if len(stack) < MAX_DEPTH:
             node = Node(label)

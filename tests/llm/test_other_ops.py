@@ -246,3 +246,17 @@ def test_html_regions_below_the_deepest_block():
     source = "<article><p>First.</p>" + "<div>" * deep + inner + "</div>" * deep + "<p>Last.</p></article><footer>end</footer>"
     assert page_text(source) == "First. Head kept Last."
     assert page_text("<nav>" + "<div>" * deep + "menu<main>Main</main>" + "</div>" * deep + "menu</nav>") == "Main"
+
+
+def test_html_hidden_is_an_attribute():
+    assert page_text('<article data-title="The hidden cost of X"><p>A <a title="A hidden Markov model">model</a> of it.</p></article>') == "A model of it."
+    assert page_text("<article><p>Seen</p><p hidden>a</p><p class=x hidden=until-found>b</p><p class=x HIDDEN/>c</article>") == "Seen"
+    assert page_text("""<article><p data-1="class='ad' hidden=x" class=a class=ad>Seen</p></article>""") == "Seen"
+
+
+def test_html_ids_of_parts_of_an_article_class_nothing():
+    parts = ['<h2 id="discussion">Discussion</h2>', '<p>See <span id="Discussion">there</span></p>', '<section id="related-work"><p>Work</p></section>', '<h2 id="search">Search</h2>', '<section id="social-history"><p>History</p></section>']
+    assert page_text(f'<article id="share">{"".join(parts)}<div class="section" id="http-header"><p>Header</p></div></article>') == "Discussion See there Work Search History Header"
+    outside = '<section id="related"><p>no</p></section><div id="share">no</div><section id="comments"><article><p>no</p></article></section>'
+    assert page_text(f'<article><p>Yes</p><div id="share">no</div><section class="related">no</section><section id="comments">no</section></article>{outside}') == "Yes"
+    assert page_text(f"<h2 id=search>Search</h2><p>Found</p>{outside}") == "Search Found"
