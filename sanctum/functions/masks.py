@@ -85,4 +85,4 @@ def mask_finding(salt: bytes, detector: Column, category: Column, value: Column)
         .otherwise(by_category)
     )
     ner = F.when(category == "ORG_NAME", m("org")).otherwise(m("person"))
-    return F.when(detector == "regex", by_value).when(detector == "ner", ner).otherwise(by_category)
+    return F.when(detector == "regex", by_value).when(detector == "ipv6", m("ipv6")).when(detector == "ner", ner).otherwise(by_category)

@@ -327,20 +327,113 @@ def entropy_of(values: DataFrame, column: str = "value") -> DataFrame:
     return values.withColumn("entropy", F.round(entropy(F.col(column)), 6))
 
 
-def findings(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequence[str] = ("regex", "legal_id", "endpoint")) -> DataFrame:
-    """One row a finding: the target's scope, object_id and path, detector, rule, category, severity, line, offset_start,
-    offset_end, matched_value, value_hash."""
-    pack = pack or Rulepack()
+#: Of a scan; the dictionary detector needs terms in the rulepack and the entity detector a model, else they find nothing.
+DETECTORS = ("regex", "legal_id", "endpoint", "ipv6", "dictionary", "ner")
+#: Masks of findings, in which terms and entities aren't looked for.
+MASKED = r"(?:TERM|REDACTED(?:_[A-Z]+)?|ANON_(?:PER|ORG))_[\da-f]{12}|[\da-f]{8,12}[.]example[.]invalid|2001:db8::[\da-f]{4}"
+
+
+def in_python(text: Column, find: Callable[[list[str]], list[list[tuple]]]) -> Column:
+    """Findings of a function from texts to lists of findings; nulls aren't given to it."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        given = [i for i, t in enumerate(texts) if t is not None]
+        out = [[] for _ in texts]
+        names = ("detector", "rule", "category", "severity", "start", "end", "value")
+        for i, found in zip(given, find([texts.iloc[i] for i in given])):
+            out[i] = [dict(zip(names, f)) for f in found]
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.coalesce(F.pandas_udf(run, FOUND)(text), F.array().cast(FOUND))
+
+
+def ipv6_detector(text: Column, keep: Sequence[str] = ()) -> Column:
+    """Public IPv6 addresses; only texts with a candidate go to Python."""
+    kept = frozenset(keep)
+
+    def find(texts):
+        import re
+
+        pattern = re.compile(IPV6)
+        return [[("ipv6", "public_ip", "ENDPOINT", "HIGH", m.start(), m.end(), m[0]) for m in pattern.finditer(t) if is_public_ip(m[0], kept)] for t in texts]
+
+    return in_python(F.when(text.rlike(IPV6), text), find)
+
+
+def dictionary_detector(text: Column, terms: Sequence[tuple[str, str]]) -> Column:
+    """All places of terms (dictionary, lower-cased term) by one automaton a batch, but for those within masks."""
+    terms = [(d, t) for d, t in terms if t]
+
+    def find(texts):
+        import re
+
+        import ahocorasick
+
+        a, masked, out = ahocorasick.Automaton(), re.compile(MASKED), []
+        for d, t in terms:
+            a.add_word(t, (t, d))
+        a.make_automaton()
+        for text in texts:
+            low = text.lower()
+            if len(low) != len(text):  # some signs are two in lower case
+                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            hits = [(end + 1 - len(t), end + 1, d) for end, (t, d) in a.iter(low)]
+            masks = [m.span() for m in masked.finditer(text)] if hits else []
+            out.append([("dictionary", d, "DICTIONARY", "HIGH", s, e, text[s:e]) for s, e, d in hits if not any(x <= s and e <= y for x, y in masks)])
+        return out
+
+    return in_python(text, find)
+
+
+def ner_detector(text: Column, model: Model, pack: Rulepack, labels: Sequence[str] = ("PER", "ORG"), batch: int = 32) -> Column:
+    """Entities of chunked texts, each span once, but for those within masks."""
+    least, length, kept = pack.policies.min_score, pack.policies.min_person_length, set(pack.keep)
+
+    def find(texts):
+        import re
+
+        masked, out = re.compile(MASKED), [{} for _ in texts]
+        parts = [(i, o, c) for i, t in enumerate(texts) for o, c in chunks(t)]
+        for k in range(0, len(parts), batch):
+            some = parts[k : k + batch]
+            for (i, o, c), found in zip(some, model([c for *_, c in some])):
+                for label, score, a, b in found:
+                    value = c[a:b]
+                    if label in labels and score >= least and len(value.strip()) >= length and value.lower() not in kept and not masked.search(value):
+                        out[i].setdefault((o + a, o + b), ("ner", label, "ORG_NAME" if label == "ORG" else "PII", "MEDIUM" if label == "ORG" else "HIGH", o + a, o + b, value))
+        return [list(f.values()) for f in out]
+
+    return in_python(text, find)
+
+
+def found_by(targets: DataFrame, pack: Rulepack, detectors: Sequence[str] = DETECTORS, model: Model | None = None) -> Column:
+    """The findings of the targets' texts by all detectors, as an array."""
+    if unknown := sorted(set(detectors) - set(DETECTORS)):
+        raise ValueError(f"unknown detectors: {', '.join(unknown)}")
     text = F.col("content")
     zones = F.col("zones") if "zones" in targets.columns else None
-    parts = []
+    parts, free = [F.array().cast(FOUND)], []
     if "regex" in detectors:
         parts.append(regex_detector(text, pack, zones))
     if "legal_id" in detectors:
         parts.append(legal_id_detector(text, zones))
     if "endpoint" in detectors:
         parts.append(endpoint_detector(text, pack, zones))
+    if "ipv6" in detectors:
+        free.append(ipv6_detector(text, pack.keep))
+    if "dictionary" in detectors and pack.terms():
+        free.append(dictionary_detector(text, pack.terms()))
+    if "ner" in detectors and model is not None:
+        free.append(ner_detector(text, model, pack))
+    return F.concat(*parts, *(f if zones is None else F.filter(f, lambda s: inside(s, zones)) for f in free))
+
+
+def findings(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequence[str] = DETECTORS, model: Model | None = None) -> DataFrame:
+    """One row a finding: the target's scope, object_id and path, detector, rule, category, severity, line, offset_start,
+    offset_end, matched_value, value_hash."""
+    text = F.col("content")
     keys = [c for c in ("scope", "object_id", "path") if c in targets.columns]
-    found = targets.select(*keys, "content", F.explode(F.concat(*parts)).alias("f"))
+    found = targets.withColumn("_found", found_by(targets, pack or Rulepack(), detectors, model)).select(*keys, "content", F.explode("_found").alias("f"))
     f = F.col("f")
     return found.select(*keys, f["detector"].alias("detector"), f["rule"].alias("rule"), f["category"].alias("category"), f["severity"].alias("severity"), line_of(text, f["start"]).alias("line"), f["start"].alias("offset_start"), f["end"].alias("offset_end"), f["value"].alias("matched_value"), value_hash(f["value"]).alias("value_hash"))

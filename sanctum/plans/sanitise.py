@@ -33,19 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scan(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequence[str] = ("regex", "legal_id", "endpoint"), strict: bool = False) -> Result:
-    """Findings and gates; nothing is rewritten."""
-    found = detect.findings(targets, pack, detectors)
+def scan(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequence[str] = detect.DETECTORS, strict: bool = False, model: detect.Model | None = None) -> Result:
+    """Findings and gates; nothing is rewritten.  Entities are found by the model, if one is given."""
+    found = detect.findings(targets, pack, detectors, model)
     return Result(targets, found, audit.finding_gates(found, strict))
 
 
-def sanitise_once(targets: DataFrame, salt: bytes, pack: Rulepack | None = None) -> DataFrame:
+def sanitise_once(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, model: detect.Model | None = None) -> DataFrame:
     """The targets with one round of findings masked."""
-    pack = pack or Rulepack()
-    text, zones = F.col("content"), F.col("zones") if "zones" in targets.columns else None
-    found = F.concat(detect.regex_detector(text, pack, zones), detect.legal_id_detector(text, zones), detect.endpoint_detector(text, pack, zones))
-    with_found = targets.withColumn("_found", found)
-    return with_found.withColumn("content", rewrite.apply_findings(text, F.col("_found"), salt)).drop("_found")
+    with_found = targets.withColumn("_found", detect.found_by(targets, pack or Rulepack(), model=model))
+    return with_found.withColumn("content", rewrite.apply_findings(F.col("content"), F.col("_found"), salt)).drop("_found")
 
 
 def fingerprint(findings: DataFrame) -> tuple[int, str]:
@@ -54,32 +51,38 @@ def fingerprint(findings: DataFrame) -> tuple[int, str]:
     return row[0], row[1]
 
 
-def sanitise(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, max_passes: int = 3, strict: bool = False) -> Result:
+def sanitise(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, max_passes: int = 3, strict: bool = False, model: detect.Model | None = None) -> Result:
     """Rewrite until no finding is left, they no longer change, or max_passes are done."""
     seen, passes = None, 0
     for passes in range(1, max_passes + 1):
-        targets = checkpointed(sanitise_once(targets, salt, pack))
-        now = fingerprint(detect.findings(targets, pack))
+        targets = checkpointed(sanitise_once(targets, salt, pack, model))
+        now = fingerprint(detect.findings(targets, pack, model=model))
         if now[0] == 0 or now == seen:
             break
         seen = now
-    out = scan(targets, pack, strict=strict)
+    out = scan(targets, pack, strict=strict, model=model)
     out.passes = passes
     return out
 
 
 def scrub_targets(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, harvest: DataFrame | None = None, max_literals: int = 10_000) -> DataFrame:
-    """Whole texts scrubbed, as for histories.  harvest: findings whose secret values are replaced wherever they occur, at
-    most max_literals of them; more are an error, not a cut."""
+    """Whole texts scrubbed, as for histories.  harvest: findings whose secret values and persons are replaced wherever they
+    occur, at most max_literals of each; more are an error, not a cut."""
     pack = pack or Rulepack()
-    literals: list[str] = []
-    if harvest is not None:
-        values = harvest.where("category = 'SECRET' AND length(matched_value) >= 5").select(F.col("matched_value").alias("value"))
-        rows = rewrite.safe_literals(values).limit(max_literals + 1).collect()
+
+    def literals(condition: str, secret: bool) -> list[str]:
+        values = harvest.where(condition).select(F.col("matched_value").alias("value"))
+        rows = rewrite.safe_literals(values, secret=secret).limit(max_literals + 1).collect()
         if len(rows) > max_literals:
             raise ValueError(f"more than {max_literals} literals")
-        literals = [r["value"] for r in rows]
-    return rewrite.scrub(targets, "content", salt, pack.rules, pack.keep, literals)
+        return [r["value"] for r in rows]
+
+    if harvest is None:
+        return rewrite.scrub(targets, "content", salt, pack.rules, pack.keep, [])
+    secrets = literals("category = 'SECRET' AND length(matched_value) >= 5", True)
+    persons = literals(f"detector = 'ner' AND category = 'PII' AND length(matched_value) >= {pack.policies.min_person_length}", False) if "detector" in harvest.columns else []
+    out = rewrite.scrub(targets, "content", salt, pack.rules, pack.keep, secrets)
+    return out.withColumn("content", rewrite.replace_literals(F.col("content"), persons, salt, "ANON_PER_")) if persons else out
 
 
 def apply_map(targets: DataFrame, brands: Sequence[rewrite.Brand], max_report: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -340,3 +340,21 @@ def test_streams_match_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = detect.findings(df, Rulepack().only("email"), ("regex",))
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() == 10
+
+
+def test_scan_and_sanitise_run_every_detector(spark):
+    rows = [(1, "Ask Dr. John Smith of Acme Widgets Ltd about ProjectX at 2606:4700::1111, İ projectx."), (2, "clean"), (3, None)]
+    df = text.targets(spark.createDataFrame(rows, "id int, body string"), "id", "body", "t")
+    pack = Rulepack(dictionaries={"brands": ("ProjectX", "er", "keepme"), "keep": ("er", "keepme")}).only("email")
+    found = sanitise.scan(df, pack, model=detect.capitalised_model).findings.collect()
+    assert sorted((r["detector"], r["matched_value"]) for r in found) == [("dictionary", "ProjectX"), ("dictionary", "projectx"), ("ipv6", "2606:4700::1111"), ("ner", "Acme Widgets Ltd"), ("ner", "John Smith")]
+    out = sanitise.sanitise(df, SALT, pack, model=detect.capitalised_model)
+    got = {r["object_id"]: r["content"] for r in out.targets.collect()}
+    h = hmac_hex
+    assert got["1"] == f"Ask Dr. ANON_PER_{h('John Smith')} of ANON_ORG_{h('Acme Widgets Ltd')} about TERM_{h('ProjectX')} at 2001:db8::{h('2606:4700::1111', 4)}, İ TERM_{h('projectx')}."
+    assert out.findings.count() == 0 and got["2"] == "clean" and got["3"] is None
+    harvest = sanitise.scan(df, pack, model=detect.capitalised_model).findings
+    other = df.withColumn("content", F.lit("by John Smith"))
+    assert sanitise.scrub_targets(other, SALT, pack, harvest).first()["content"] == f"by ANON_PER_{h('John Smith')}"
+    with pytest.raises(ValueError):
+        sanitise.scan(df, pack, ("regex", "nre"))
