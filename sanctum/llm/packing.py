@@ -4,26 +4,31 @@ r"""Packing token sequences by non-negative least squares.
    of any run of cells follows from these, so ids are neither stored nor made twice.
 2. A document of a full window or more is cut into windows and a remainder.  Remainders are binned by their cells (those
    under one cell by their exact length) and the histogram over all documents is taken.
-3. The plan: multisets of at most three bins that fill a window exactly are the columns of a non-negative least squares
-   problem against the histogram; repeat counts are rounded down.
-4. The residual, what the rounded counts leave over, is packed greedily: laid end to end and cut at windows, which cell
-   boundaries allow.  Remainders under one cell fill windows of their own kind.
+3. The plan: shallow combinations that fill a window exactly (three bins, or any number of pieces of one or two) are the
+   columns of a non-negative least squares problem against the histogram; repeat counts are rounded, and what that leaves
+   is solved for again until nothing fits.
+4. The residual is packed greedily: laid end to end and cut at windows, which cell boundaries allow.  Remainders under one
+   cell lie end to end in windows of their own.
 
 Every document's place is arithmetic on its rank in its bin.  Ranks are local counts of a written table plus offsets by
 chunk and bin, so there is no global sort, and a bin with a third of all rows is never in one task.
 
+The strings of a tokenizer's special tokens inside a text are ordinary text, as the vocabulary's own description has it, so no
+text can hold a control id.
+
 Edge cases: a null or empty text is the end token alone; repeated rows are packed each by itself; other columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import id_type, materialize, read_table, slices, utf8
 
 WINDOW, CELL, END_ID = 4096, 16, 2
-CACHE_WORDS = 250_000
+#: Distinct pieces kept by a worker, and bytes of text that it cuts at once.
+CACHE_WORDS, CHUNK = 500_000, 1 << 22
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def default_tokenizer() -> str:
@@ -43,17 +50,31 @@ def default_tokenizer() -> str:
 
 # == tokenizing ==
 
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of each UTF-16 unit its class and its lower case.  OTHER is what only the tokenizer's own pipeline may split: signs from
+    U+0300 on, controls, and letters whose lower case is not one unit."""
+    kind, lower = np.full(1 << 16, _OTHER, np.uint8), np.arange(1 << 16, dtype=np.uint16)
+    for c in range(0x300):
+        s = chr(c)
+        if c == 0x20 or 0x09 <= c <= 0x0D:
+            kind[c] = _SPACE
+        elif s.isprintable() and len(s.lower()) == 1 and ord(s.lower()) < 1 << 16:
+            kind[c] = _LETTER if regex.match(r"\p{L}", s) else _DIGIT if regex.match(r"\p{N}", s) else _SIGN
+            lower[c] = ord(s.lower())
+    return kind, lower
+
 
 class WordEncoder:
     """Token ids of texts by a tokenizer that drops white space and never joins ids across it.
 
-    Distinct words go through the tokenizer once and their ids are kept.  Beyond ``limit`` words those seen once since the
-    last time are dropped.  Words of printable signs below U+0300 are lowered and split here, which the tests hold against
-    the tokenizer itself; others go through its whole pipeline.
+    Texts are lowered and cut into the tokenizer's pieces by arrays over all their signs; distinct pieces go through the
+    tokenizer once and their ids are kept.  Beyond ``limit`` pieces those used least are dropped.  Words with any sign of class
+    OTHER are one piece and go through the tokenizer's whole pipeline.  The tests hold the result against the tokenizer itself.
     """
 
-    _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         import os
 
@@ -65,92 +86,149 @@ class WordEncoder:
         self.whole.encode_special_tokens = self.parts.encode_special_tokens = True
         self.parts.normalizer = normalizers.Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.last = np.zeros(self.parts.get_vocab_size(), bool)
+        self.size = self.parts.get_vocab_size()
+        self.last = np.zeros(self.size, bool)
         for token, i in self.parts.get_vocab().items():
             self.last[i] = token.endswith("</w>")
+        self.kind, self.lower = _classes()
         self.limit = limit
-        self.word: dict[bytes, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.int32), 0
-        self.start, self.length, self.uses = (np.zeros(1 << 16, np.int32) for _ in range(3))
-
-    def _room(self, words: int, ids: int) -> None:
-        while self.used + ids > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while words > len(self.start):
-            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
-
-    def _add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
-        at = len(self.word)
-        self._room(at + len(words), len(ids))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[at : at + len(words)] = self.used + np.cumsum(length) - length
-        self.length[at : at + len(words)] = length
-        self.uses[at : at + len(words)] = 0
-        self.word.update(zip(words, range(at, at + len(words))))
-        self.used += len(ids)
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        simple, pieces, counts, other = [], [], [], []
-        for w in words:
-            s = w.decode()
-            if s.isprintable() and (s.isascii() or max(s) < "\u0300"):
-                simple.append(w)
-                low = s.lower()
-                if low.isalpha():
-                    pieces.append(low)
-                    counts.append(1)
-                else:
-                    own = self._PIECES.findall(low)
-                    pieces += own
-                    counts.append(len(own))
-            else:
-                other.append(w)
+        self.known = pa.array([], pa.binary())
+        self.pool = np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.int32)
+        self.length, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        units = np.frombuffer(pieces.buffers()[2], np.uint16) if pieces.buffers()[2] else np.zeros(0, np.uint16)
+        at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] // 2
+        other = np.concatenate([[0], np.cumsum(self.kind[units[at[0] : at[-1]]] == _OTHER)])[at - at[0]]
+        other = np.diff(other) > 0
+        words = [w.decode("utf-16-le") for w in pieces.to_pylist()]
+        simple = [w for w, o in zip(words, other) if not o]
+        length, ids = np.zeros(len(words), np.int64), np.zeros(0, np.int64)
         if simple:
-            # words share pieces: case and punctuation make many of one
-            code: dict[str, int] = {}
-            at = np.fromiter((code.setdefault(p, len(code)) for p in pieces), np.int64, len(pieces))
-            ids = np.array(self.parts.encode_batch_fast([" ".join(code)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.parts.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-            if len(ends) != len(code) + 1:
+            if len(ends) != len(simple) + 1:
                 raise ValueError("the tokenizer joined or dropped words")
-            length = np.diff(ends)[at]
-            total = np.concatenate([[0], np.cumsum(length)])
-            ids = ids[np.repeat(ends[at] - total[:-1], length) + np.arange(total[-1])]
-            self._add(simple, ids, np.diff(np.concatenate([[0], total[np.cumsum(counts)]])))
-        if other:
-            found = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
-            self._add(other, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
+            length[~other] = np.diff(ends)
+        if other.any():
+            found = [e.ids for e in self.whole.encode_batch_fast([w for w, o in zip(words, other) if o], add_special_tokens=False)]
+            length[other] = [len(f) for f in found]
+            rest = np.array([i for f in found for i in f], np.int64)
+            both = np.zeros(int(length.sum()), np.int64)
+            of_other = np.repeat(other, length)
+            both[of_other], both[~of_other] = rest, ids
+            ids = both
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.pool = np.concatenate([self.pool, ids.astype(self.pool.dtype)])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def _forget(self) -> None:
-        """Keep words used twice or more, at most half the limit; their uses count half from now on."""
-        n = len(self.word)
-        uses = self.uses[:n]
-        least = 2 if n <= self.limit else max(2, int(np.partition(uses, n - self.limit // 2)[n - self.limit // 2]))
-        keep = np.flatnonzero(uses >= least)[: self.limit]
-        names = list(self.word)
-        start, length, uses = self.start[keep].astype(np.int64), self.length[keep].astype(np.int64), uses[keep] // 2
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(start - total[:-1], length) + np.arange(total[-1])].copy()
-        self.word, self.used = {}, 0
-        self._add([names[i] for i in keep.tolist()], ids, length)
-        self.uses[: len(keep)] = uses
+        """Keep the pieces used twice or more, at most half the limit; their uses count half from now on."""
+        n = len(self.known)
+        least = 2 if n <= self.limit // 2 else max(2, int(np.partition(self.uses, n - self.limit // 2)[n - self.limit // 2]))
+        keep = np.flatnonzero(self.uses >= least)[: self.limit]
+        ids = self._ids(keep).astype(self.pool.dtype)
+        self.known = self.known.take(pa.array(keep))
+        self.pool, self.length, self.uses = ids, self.length[keep], self.uses[keep] // 2
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        length = self.length[at].astype(np.int64)
+        start = np.cumsum(self.length, dtype=np.int64)[at] - length
+        total = np.cumsum(length)
+        return self.pool[np.repeat(start - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+
+    def _cut(self, units: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Where the pieces of a run of UTF-16 units begin, and the pieces."""
+        kind = self.kind[units]
+        word = kind != _SPACE
+        after_space = np.concatenate([[True], ~word[:-1]])
+        begins = word & after_space
+        low = self.lower[units]
+        odd = kind == _OTHER
+        start = begins.copy()
+        start[1:] |= word[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        # contractions: an apostrophe that begins a piece, with s, t, m, d, re, ve or ll
+        quote = np.flatnonzero((low == 0x27) & start)
+        if len(quote):
+            padded = np.concatenate([low, np.zeros(3, np.uint16)])
+            a, b = padded[quote + 1], padded[quote + 2]
+            one = np.isin(a, np.frombuffer("stmd".encode("utf-16-le"), np.uint16))
+            two = ((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
+            start[quote[one | two] + 1] = False
+            stop = np.concatenate([quote[one] + 2, quote[two] + 3])
+            stop = stop[stop < len(units)]
+            start[stop] |= word[stop]
+        if odd.any():
+            # words with a sign of class OTHER are one piece as they are
+            number = np.cumsum(begins)
+            whole = np.zeros(int(number[-1]) + 1, bool)
+            whole[number[odd]] = True
+            whole = whole[number] & word
+            start = np.where(whole, begins, start)
+            low = np.where(whole, units, low)
+        offset = np.concatenate([[0], np.cumsum(word)])
+        at = np.flatnonzero(start)
+        ends = np.append(offset[at], offset[-1]).astype(np.int32) * 2
+        return at, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(low[word])])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends in them."""
-        words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.word)
-        if len(self.word) + len(new) > self.limit and self.word:
-            self._forget()
-            new = set().union(*words).difference(self.word)
-        if new:
-            self._learn(new)
-        n = sum(map(len, words))
-        at = np.fromiter(map(self.word.__getitem__, chain.from_iterable(words)), np.int64, n)
-        self.uses[: len(self.word)] += np.bincount(at, minlength=len(self.word)).astype(np.int32)
-        start, length = self.start[at].astype(np.int64), self.length[at].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
-        return ids.astype(np.int64), total[np.cumsum([len(w) for w in words])]
+        out, counts = [], np.zeros(len(texts), np.int64)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def run():
+            ids, of = self._encode(held)
+            out.append(ids)
+            np.add.at(counts, [i for i, _ in held], of)
+            held.clear()
+
+        for i, t in enumerate(texts):
+            for part in _parts(t):
+                held.append((i, part))
+                size += len(part)
+                if size >= CHUNK:
+                    run()
+                    size = 0
+        if held:
+            run()
+        return (np.concatenate(out) if out else np.zeros(0, np.int64)), np.cumsum(counts)
+
+    def _encode(self, parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        units = [p.decode().encode("utf-16-le") for _, p in parts]
+        ends = np.cumsum([len(u) // 2 + 1 for u in units])
+        at, pieces = self._cut(np.frombuffer(b"\n\0".join(units) + b"\n\0", np.uint16))
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(len(parts), np.int64)
+        index = pc.index_in(pieces, self.known)
+        if index.null_count:
+            new = pieces.filter(index.is_null()).dictionary_encode()
+            if len(self.known) + len(new.dictionary) > self.limit and len(self.known):
+                self._forget()
+                index = pc.index_in(pieces, self.known)
+                new = pieces.filter(index.is_null()).dictionary_encode()
+            index = np.array(index.fill_null(-1))
+            index[index < 0] = len(self.known) + np.asarray(new.indices)
+            self._learn(new.dictionary)
+        else:
+            index = np.asarray(index)
+        self.uses += np.bincount(index, minlength=len(self.known))
+        ids = self._ids(index).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(self.length[index], dtype=np.int64)])
+        return ids, np.diff(np.concatenate([[0], total[np.searchsorted(at, ends)]]))
+
+
+def _parts(text: bytes):
+    """A text whole or, if it is very long, cut at white space, which ids never cross."""
+    at = 0
+    while len(text) - at > CHUNK:
+        m = _BLANK.search(text, at + CHUNK)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -168,21 +246,52 @@ def bin_of(length, cell: int = CELL):
     return np.where(length < cell, length, cell - 1 + -(-length // cell))
 
 
+class CellCrcs:
+    """CRC-32 of each cell of ids: a full cell's is the XOR of a table's entries, one for each id at its place in the cell."""
+
+    def __init__(self, cell: int, ids: int):
+        shift = _shift_tables(4)
+        # an id's four bytes as the last of the cell, without the register's own start; then moved forward id by id
+        none = zlib.crc32(bytes(4))
+        crc = np.array([zlib.crc32(int(i).to_bytes(4, "little")) ^ none for i in range(ids)], np.uint64)
+        self.tables = [crc]
+        for _ in range(cell - 1):
+            self.tables.append(_shift(shift, self.tables[-1]))
+        self.tables = [t.astype(np.uint32) for t in reversed(self.tables)]
+        self.cell, self.zero = cell, np.uint32(zlib.crc32(bytes(4 * cell)))
+
+    def __call__(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(CRCs of all cells in a row, cells of each document) for documents of the given lengths, whose last cell may be short."""
+        count = -(-lengths // self.cell)
+        first, begin = np.cumsum(count) - count, np.cumsum(lengths) - lengths
+        at = np.repeat(begin - self.cell * first, count) + self.cell * np.arange(int(count.sum()))
+        short = np.flatnonzero(lengths % self.cell)
+        full = np.ones(len(at), bool)
+        full[(first + count - 1)[short]] = False
+        out, start = np.zeros(len(at), np.uint32), at[full]
+        crc = np.full(len(start), self.zero, np.uint32)
+        for j, t in enumerate(self.tables):
+            crc ^= t[ids[start + j]]
+        out[full] = crc
+        for i in short.tolist():
+            end = begin[i] + lengths[i]
+            out[first[i] + count[i] - 1] = zlib.crc32(ids[end - lengths[i] % self.cell : end].astype("<u4").tobytes())
+        return out, count
+
+
 def _tokenize(docs: DataFrame, path: str, window: int, cell: int, end_id: int) -> DataFrame:
     names = ["doc_id", "n", "crcs", "chunk", "bin", "rank", "windows_before"]
 
     def run(batches):
         enc, chunk = encoder(path), TaskContext.get().partitionId()
+        crc_of = CellCrcs(cell, max(enc.size, end_id + 1))
         seen, windows = np.zeros(cell + window // cell + 1, np.int64), 0
-        for b in slices(batches, 256):
+        for b in slices(batches, 1024):
             ids, ends = enc.encode([t or b"" for t in utf8(b.column(1))])
             lengths = np.diff(np.concatenate([[0], ends])) + 1
-            whole = np.insert(ids, ends, end_id).astype("<u4").tobytes()
-            crcs, at = [], 0
-            for n in lengths.tolist():
-                stop = at + 4 * n
-                crcs.append(np.array([zlib.crc32(whole[i : min(i + 4 * cell, stop)]) for i in range(at, stop, 4 * cell)], "<u4").tobytes())
-                at = stop
+            crcs, count = crc_of(np.insert(ids, ends, end_id), lengths)
+            offsets = np.concatenate([[0], 4 * np.cumsum(count)]).astype(np.int64)
+            crcs = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(crcs.astype("<u4"))]).cast(pa.binary())
             bins = bin_of(lengths % window, cell)
             rank = np.zeros(len(bins), np.int64)
             for i, k in enumerate(bins.tolist()):
@@ -191,7 +300,7 @@ def _tokenize(docs: DataFrame, path: str, window: int, cell: int, end_id: int) -
             full = lengths // window
             before = windows + np.cumsum(full) - full
             windows += int(full.sum())
-            cols = [b.column(0), pa.array(lengths, pa.int64()), pa.array(crcs, pa.binary()), pa.array(np.full(len(bins), chunk, np.int64)), pa.array(bins.astype(np.int64)), pa.array(rank), pa.array(before, pa.int64())]
+            cols = [b.column(0), pa.array(lengths, pa.int64()), crcs, pa.array(np.full(len(bins), chunk, np.int64)), pa.array(bins.astype(np.int64)), pa.array(rank), pa.array(before, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     source = docs
@@ -250,20 +359,21 @@ class CrcJoiner:
 # == the plan ==
 
 
-def combinations(total: int, bins: list[int], depth: int = 3) -> list[tuple[int, ...]]:
-    """Multisets of at most depth of the given bins (in cells) that fill total exactly."""
+def combinations(total: int, bins: list[int]) -> list[dict[int, int]]:
+    """Ways to fill total exactly with bins (in cells), as bin -> times: at most three pieces of any bins, or any number of
+    pieces of one bin or of two."""
     have, out = sorted(bins, reverse=True), []
     there = set(have)
     for i, a in enumerate(have):
-        if a == total:
-            out.append((a,))
-        for j in range(i, len(have)):
-            b = have[j]
-            rest = total - a - b
-            if rest == 0:
-                out.append((a, b))
-            elif depth >= 3 and 0 < rest <= b and rest in there:
-                out.append((a, b, rest))
+        for n in range(1, total // a + 1):
+            rest = total - n * a
+            if not rest:
+                out.append({a: n})
+            else:
+                out += [{a: n, b: rest // b} for b in have[i + 1 :] if rest % b == 0]
+        for b in have[i + 1 :]:
+            if total - a - b < b and total - a - b in there:
+                out.append({a: 1, b: 1, total - a - b: 1})
     return out
 
 
@@ -280,8 +390,11 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int | None = None) -> np.ndarray:
             break
         active[best] = True
         while True:
-            s = np.zeros(n)
-            s[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            s, own = np.zeros(n), a[:, active]
+            try:
+                s[active] = np.linalg.solve(own.T @ own, own.T @ b)
+            except np.linalg.LinAlgError:
+                s[active] = np.linalg.lstsq(own, b, rcond=None)[0]
             if (s[active] > 0).all():
                 x = s
                 break
@@ -293,28 +406,40 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int | None = None) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], total: int, depth: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of bins (in cells) and how often each is used; never more of a bin than there are."""
-    combos = combinations(total, [k for k, v in histogram.items() if v], depth)
-    if not combos:
-        return []
-    row = {k: i for i, k in enumerate(sorted(histogram))}
-    a = np.zeros((len(row), len(combos)))
-    for j, c in enumerate(combos):
-        for k in c:
-            a[row[k], j] += 1
-    b = np.array([histogram[k] for k in sorted(histogram)], float)
-    left, out = dict(histogram), []
-    # least squares may ask for more of a bin than there is: counts are capped by what is left, largest first
-    x = np.floor(nnls(a, b) + 1e-6).astype(np.int64)
-    for j in np.argsort(-x, kind="stable"):
-        c = combos[j]
-        n = min([int(x[j]), *(left[k] // c.count(k) for k in c)])
-        if n > 0:
-            out.append((c, n))
-            for k in c:
-                left[k] -= n
-    return out
+def plan(histogram: dict[int, int], total: int, rounds: int = 8) -> list[tuple[dict[int, int], int]]:
+    """Combinations of bins (in cells) and how often each is used; never more of a bin than there are.
+
+    Counts are rounded down; what that leaves is solved for again until nothing more fits, then counts are rounded up,
+    largest fractions first, while their bins last.
+    """
+    left, used = {k: v for k, v in histogram.items() if v}, {}
+    for _ in range(rounds):
+        combos = combinations(total, [k for k, v in left.items() if v])
+        # a combination that asks for more of a bin than there is can't be used even once
+        combos = [c for c in combos if all(n <= left[k] for k, n in c.items())]
+        if not combos:
+            break
+        bins = sorted(k for k, v in left.items() if v)
+        row = {k: i for i, k in enumerate(bins)}
+        a = np.zeros((len(bins), len(combos)))
+        for j, c in enumerate(combos):
+            for k, n in c.items():
+                a[row[k], j] = n
+        x = nnls(a, np.array([left[k] for k in bins], float))
+        before = sum(left.values())
+        # least squares may ask for more of a bin than there is: counts are capped by what is left
+        for most, asked in ((np.argsort(-x, kind="stable"), np.floor(x + 1e-6)), (np.argsort(-(x - np.floor(x)), kind="stable"), np.ceil(x - 1e-6))):
+            for j in most:
+                c, done = combos[j], used.get(tuple(combos[j].items()), 0)
+                n = int(min([asked[j], *(left[k] // m for k, m in c.items())])) if asked[j] >= 1 else 0
+                if n > 0:
+                    used[tuple(c.items())] = done + n
+                    for k, m in c.items():
+                        left[k] -= n * m
+            x = x - np.floor(x + 1e-6)
+        if sum(left.values()) == before:
+            break
+    return [(dict(c), n) for c, n in used.items()]
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, cell: int = CELL, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,14 +460,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ce
     planned: dict[int, int] = {}
     base = 0
     for combo, n in chosen:
-        for slot, k in enumerate(combo):
+        for slot, k in enumerate(chain.from_iterable(repeat(k, m) for k, m in combo.items())):
             by_bin.setdefault(k + cell - 1, []).append((planned.get(k + cell - 1, 0), n, base, slot))
             planned[k + cell - 1] = planned.get(k + cell - 1, 0) + n
         base += n
-    small_base = {}
+    # remainders under one cell lie end to end by length; one begins within the first window - cell + 1 ids of its sequence
+    room, small_at, at = window - cell + 2, {}, 0
     for k in range(1, cell):
-        small_base[k] = base
-        base += -(-histogram.get(k, 0) // (window // k))
+        small_at[k] = at
+        at += k * histogram.get(k, 0)
+    small_base = base
+    base += -(-at // room)
     residual_base = base
 
     spark = docs.sparkSession
@@ -386,8 +514,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ce
                 if not left:
                     continue
                 if k < cell:
-                    per = window // k
-                    piece(start, left, n_full + small_base[k] + rank // per, rank % per)
+                    at = small_at[k] + rank * k
+                    piece(start, left, n_full + small_base + at // room, at % room)
                 elif rank < first:
                     begin, count, seq, slot = slots[k]
                     s = int(np.searchsorted(begin, rank, side="right")) - 1

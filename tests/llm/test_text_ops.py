@@ -277,10 +277,40 @@ def test_nnls():
     x[[2, 7, 11]] = [3, 1, 5]
     got = packing.nnls(a, a @ x)
     assert (got >= 0).all() and np.allclose(a @ got, a @ x, atol=1e-6)
-    plan = packing.plan({100: 50, 156: 60, 78: 12, 256: 3}, 256)
+    histogram = {100: 50, 156: 60, 78: 12, 256: 3}
     used = Counter()
-    for c, k in plan:
-        assert sum(c) == 256
-        for b in c:
-            used[b] += k
-    assert used[100] >= 49 and used[256] == 3 and all(used[b] <= h for b, h in {100: 50, 156: 60, 78: 12, 256: 3}.items())
+    for c, k in packing.plan(histogram, 256):
+        assert sum(b * m for b, m in c.items()) == 256
+        for b, m in c.items():
+            used[b] += k * m
+    assert used[100] >= 49 and used[256] == 3 and all(used[b] <= h for b, h in histogram.items())
+
+
+def test_plan_takes_most_of_short_remainders():
+    rng = np.random.default_rng(1)
+    cells = np.clip(rng.exponential(40, 4000).astype(int) + 1, 1, 256)
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(cells, return_counts=True))}
+    planned = sum(sum(c.values()) * k for c, k in packing.plan(histogram, 256))
+    assert planned >= 0.9 * len(cells)
+    assert packing.plan({}, 256) == [] and packing.plan({255: 7}, 256) == []
+
+
+def test_cell_crcs():
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 16, 17, 32, 15, 100, 4096])
+    ids = rng.integers(0, 49408, lengths.sum())
+    crcs, count = packing.CellCrcs(16, 49408)(ids, lengths)
+    want, at = [], 0
+    for n in lengths.tolist():
+        want += [zlib.crc32(ids[i : min(i + 16, at + n)].astype("<u4").tobytes()) for i in range(at, at + n, 16)]
+        at += n
+    assert crcs.tolist() == want and count.tolist() == [1, 1, 2, 2, 1, 7, 256]
+
+
+def test_very_long_text_is_cut_at_white_space(monkeypatch):
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    texts = [b"one two's \xc3\xa9t\xc3\xa9 three " * 50, b"", b"x" * 400, b"12 ab"]
+    ids, ends = enc.encode(texts)
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    again, ends_again = packing.WordEncoder(packing.default_tokenizer(), limit=10).encode(texts)
+    assert again.tolist() == ids.tolist() and ends_again.tolist() == ends.tolist()
