@@ -38,7 +38,7 @@ from .common import id_type, materialize, read_table, slices, utf8
 
 WINDOW, CELL, END_ID = 4096, 16, 2
 #: Distinct pieces kept by a worker, and bytes of text that it cuts at once.
-CACHE_WORDS, CHUNK = 500_000, 1 << 22
+CACHE_WORDS, CHUNK = 500_000, 1 << 21
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -133,10 +133,11 @@ class WordEncoder:
         self.pool, self.length, self.uses = ids, self.length[keep], self.uses[keep] // 2
 
     def _ids(self, at: np.ndarray) -> np.ndarray:
-        length = self.length[at].astype(np.int64)
-        start = np.cumsum(self.length, dtype=np.int64)[at] - length
-        total = np.cumsum(length)
-        return self.pool[np.repeat(start - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+        length = self.length[at]
+        shift = np.cumsum(self.length, dtype=np.int64)[at] - np.cumsum(length)
+        place = np.repeat(shift.astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool[place]
 
     def _cut(self, units: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Where the pieces of a run of UTF-16 units begin, and the pieces."""
@@ -161,15 +162,14 @@ class WordEncoder:
             start[stop] |= word[stop]
         if odd.any():
             # words with a sign of class OTHER are one piece as they are
-            number = np.cumsum(begins)
+            number = np.cumsum(begins, dtype=np.int32)
             whole = np.zeros(int(number[-1]) + 1, bool)
             whole[number[odd]] = True
             whole = whole[number] & word
             start = np.where(whole, begins, start)
             low = np.where(whole, units, low)
-        offset = np.concatenate([[0], np.cumsum(word)])
-        at = np.flatnonzero(start)
-        ends = np.append(offset[at], offset[-1]).astype(np.int32) * 2
+        at, offset = np.flatnonzero(start), np.cumsum(word, dtype=np.int32)
+        ends = np.append(offset[at] - 1, offset[-1]) * 2
         return at, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(low[word])])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
