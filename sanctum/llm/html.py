@@ -12,8 +12,12 @@ role, class or id.  Pages without such a block keep what is in no such region, i
 text on all pages of the host.  A page is aligned with its host's wrapper, which has every page's structure in it, and the
 main slots are read off in page order.
 
-Wrappers are folded in each task first, then by host in two steps, so a host with a third of all pages is never in one
-task; a wrapper's size follows the variety of a host's structure, not its pages.
+Wrappers are folded in each task first, then by host in rounds of bounded fan-in, so a host with a third of all pages is
+never in one task; a wrapper's size follows the variety of a host's structure, not its pages.  Finished wrappers are files by
+host that the tasks read for their own pages: pages are neither shuffled nor joined.
+
+Pages are read in linear time and without limits of length; blocks nested over MAX_DEPTH deep are read as text of the block
+around them, in regions of their own, with the same result.  Sequences of siblings are aligned by the same rule at any length.
 
 Edge cases: null or empty html gives empty text; a null url is the host ``""``; repeated rows are pages of their own; other
 columns are ignored; an empty table gives an empty result.  White space is what Unicode calls so.
@@ -28,12 +32,16 @@ import zlib
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows, materialize, read_table, slices
+from .common import id_type, map_rows, materialize, new_path, open_fs, read_table, slices
 
-SALTS, MAX_HOSTS, MAX_ALIGN = 32, 5000, 250_000
+#: Hosts that a worker holds at once, wrappers folded together, hosts in a bucket of finished wrappers.
+MAX_HOSTS, FAN, BUCKET_HOSTS = 5000, 64, 500
+#: Bits of an alignment held at once; longer sequences are aligned in blocks, with the same result.
+ROW_BITS = 1 << 31
 #: A slot with one text is the site's if so many different pages have it.
 MIN_PAGES = 3
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -66,9 +74,10 @@ _PIECE = re.compile(r"""[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(["'])|[^\s>]+
 MAX_DEPTH = 400
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
 _NAMED = re.compile("class|id|role|hidden", re.I)
+_NUMBER = re.compile(r"&#(?=[0-9]{12})0*+([0-9]*+);?")
 _SIGNS = re.compile(r"[^\w.@-]")
 _DIGITS = re.compile(r"\d+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -86,6 +95,13 @@ class Node:
         self.label, self.kids, self.text, self.links, self.digest = label, [], "", 0, 0
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; decimal ones of any length, which Python's integers would refuse."""
+    if "&#" in text:
+        text = _NUMBER.sub(lambda m: "\ufffd" if len(m[1]) > 7 else f"&#{m[1] or 0};", text)
+    return html_lib.unescape(text)
+
+
 def region(tag: str, attrs: str, inside: bool = False) -> tuple[str, str]:
     """(label, class of region): '' plain, 'drop', 'strict', 'header', 'article', 'main', 'content'.
 
@@ -97,7 +113,7 @@ def region(tag: str, attrs: str, inside: bool = False) -> tuple[str, str]:
         return tag, kind
     found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        found.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     names, ids = found.get("class", "").split(), found.get("id", "").split()
     role = found.get("role", "").strip().lower()
     shown = " ".join(sorted(_SIGNS.sub("_", _DIGITS.sub("0", n)) for n in [*names, *ids])) + (f" @{role}" if role else "")
@@ -226,7 +242,7 @@ def parse(source: str) -> Node:
         if end > start:
             piece = source[start:end]
             if "&" in piece:
-                piece = html_lib.unescape(piece)
+                piece = unescape(piece)
             text.append(piece)
             if link:
                 links += len(piece)
@@ -249,12 +265,16 @@ def parse(source: str) -> Node:
         if source.startswith(("<!", "<?"), lt):
             at = gt + 1
             continue
+        if gt == size and source.find("<", lt + 1) >= 0:
+            text.append("<")  # no tag: none ends any more
+            at = lt + 1
+            continue
         m = None if failed else _TAG.match(source, lt, min(size, lt + TAG_CHARS))
         if m:
             closing, tag, attrs, at = m[1], m[2], m[3], m.end()
         else:
             m = _NAME.match(source, lt)
-            if not m or gt == size and source.find("<", lt + 1) >= 0:
+            if not m:
                 text.append("<")  # no tag
                 at = lt + 1
                 continue
@@ -272,7 +292,8 @@ def parse(source: str) -> Node:
             continue
         if tag in RAW:
             stop = _RAW_END[tag].search(source, at)
-            at = stop.end() if stop else size
+            end = source.find(">", stop.end()) if stop else -1
+            at = end + 1 if end >= 0 else size
             flush()
             continue
         if tag == "br":
@@ -397,30 +418,37 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     n, m = len(x), len(y)
     if not n or not m:
         return out + [(head + i, -1) for i in range(n)] + [(-1, head + j) for j in range(m)]
-    if n * m > MAX_ALIGN:
-        # very long sequences: the next equal label, else the part stands alone
-        i = 0
-        place: dict[str, list[int]] = {}
-        for k, label in enumerate(x):
-            place.setdefault(label, []).append(k)
-        for j, label in enumerate(y):
-            k = next((k for k in place.get(label, ()) if k >= i), -1)
-            if k < 0:
-                out.append((-1, head + j))
-            else:
-                out += [(head + t, -1) for t in range(i, k)] + [(head + k, head + j)]
-                i = k + 1
-        return out + [(head + t, -1) for t in range(i, n)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    # The longest common subsequence by bits: in row j, bit n - 1 - i is 0 if x[i] adds to that of x[i:] and y[j:].  Rows are
+    # made from the last backwards; of long sequences each KEPT-th is held and those between are made again when needed.
+    full, bits = (1 << n) - 1, {}
+    for i, label in enumerate(x):
+        bits[label] = bits.get(label, 0) | 1 << (n - 1 - i)
+
+    def rows(row: int, last: int, first: int, step: int = 1) -> dict[int, int]:
+        """Rows first .. last - 1 and row last itself, every step-th, from row ``last``."""
+        made = {last: row}
+        for j in range(last - 1, first - 1, -1):
+            match = row & bits.get(y[j], 0)
+            row = (row + match | row & ~match) & full
+            if (last - j) % step == 0 or j == first:
+                made[j] = row
+        return made
+
+    step = 1 if n * m <= ROW_BITS else max(1, int(m**0.5))
+    kept = rows(full, m, 0, step)
+    at = sorted(kept)
+    own, k = (kept, 0) if step == 1 else ({}, -1)
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
             out.append((head + i, head + j))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            continue
+        if j not in own:
+            k = next(p for p in range(max(k, 0), len(at)) if at[p] >= j)
+            lower = at[k - 1] if k else 0
+            own = rows(kept[at[k]], at[k], lower)
+        if j >= m or i < n and own[j] >> (n - 1 - i) & 1:
             out.append((head + i, -1))
             i += 1
         else:
@@ -540,16 +568,13 @@ def host_of(url) -> F.Column:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """From (host, html): one row a host with its finished wrapper as JSON."""
+    """From (host, html): one row a host with its finished wrapper as JSON, as a written table."""
 
     def partial(batches):
         held: dict[str, list] = {}
 
         def emit():
-            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([hash_salt(w) for w in held.values()], pa.int64()), pa.array([json.dumps(w) for w in held.values()])], names=["host", "salt", "wrapper"])
-
-        def hash_salt(w):
-            return zlib.crc32(json.dumps(w).encode()) % SALTS
+            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w in held.values()])], names=["host", "wrapper"])
 
         for b in slices(batches, 256):
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -569,35 +594,60 @@ def infer(pages: DataFrame) -> DataFrame:
             w = merge(w, json.loads(p))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(w)]})
 
-    parts = pages.mapInArrow(partial, "host string, salt long, wrapper string")
-    once = parts.groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
-    whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string")
+    parts = materialize(pages.mapInArrow(partial, "host string, wrapper string"), "wrappers")
+    # a host has at most as many wrappers as there are tasks; each round folds about FAN of them in a task
+    most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        salts = -(-most // FAN)
+        parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
+        if salts == 1:
+            break
+        parts = materialize(parts, "wrappers")
+        most = min(salts, parts.groupBy("host").count().agg(F.max("count")).first()[0])
 
     def done(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(finish(json.loads(w))) for w in b.column(1).to_pylist()])], names=["wrapper_host", "wrapper"])
 
-    return map_rows(whole, done, "wrapper_host string, wrapper string")
+    return materialize(map_rows(parts, done, "wrapper_host string, wrapper string"), "wrappers")
+
+
+class Wrappers:
+    """Finished wrappers, written by buckets of hosts; a task reads those of its own pages' hosts."""
+
+    def __init__(self, wrappers: DataFrame):
+        self.path = new_path(wrappers.sparkSession, "by-host")
+        self.buckets = max(1, min(1 << 16, -(-wrappers.count() // BUCKET_HOSTS)))
+        placed = wrappers.withColumn("b", F.pmod(F.crc32(F.encode("wrapper_host", "UTF-8")), F.lit(self.buckets)))
+        placed.repartition("b").sortWithinPartitions("b", "wrapper_host").write.partitionBy("b").parquet(self.path)
+        self.read: dict[str, list] = {}
+
+    def load(self, hosts: list[str]) -> None:
+        missing: dict[int, set[str]] = {}
+        for h in hosts:
+            if h not in self.read:
+                missing.setdefault(zlib.crc32(h.encode()) % self.buckets, set()).add(h)
+        if not missing:
+            return
+        if len(self.read) > MAX_HOSTS:
+            self.read = {h: self.read[h] for h in hosts if h in self.read}
+        fs, root = open_fs(self.path)
+        for b, own in missing.items():
+            found = pyarrow.dataset.dataset(f"{root}/b={b}", filesystem=fs, format="parquet").to_table(columns=["wrapper_host", "wrapper"], filter=pyarrow.dataset.field("wrapper_host").isin(sorted(own)))
+            self.read.update((h, json.loads(w)) for h, w in zip(found["wrapper_host"].to_pylist(), found["wrapper"].to_pylist()))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, blocks): the main blocks of each page as array<string>."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    # written, so that Spark broadcasts the wrappers only below its threshold and shuffles by host beyond it
-    wrappers = materialize(infer(pages.select("host", "html")), "wrappers")
-    joined = pages.join(wrappers, F.col("host") == F.col("wrapper_host"), "left").select("page_id", "url", "html", "wrapper")
-    read: dict[str, list] = {}
+    wrappers = Wrappers(infer(pages.select("host", "html")))
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for source, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            if w not in read:
-                if len(read) > MAX_HOSTS:
-                    read.clear()
-                read[w] = json.loads(w)
-            out.append(extract(parse(source or ""), read[w]))
+        hosts = b.column(3).to_pylist()
+        wrappers.load(hosts)
+        out = [extract(parse(source or ""), wrappers.read[host]) for source, host in zip(b.column(2).to_pylist(), hosts)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "blocks"])
 
-    return map_rows(joined, make, f"page_id {id_type(pages, 'page_id')}, url {id_type(pages, 'url')}, blocks array<string>", 256)
+    return map_rows(pages, make, f"page_id {id_type(pages, 'page_id')}, url {id_type(pages, 'url')}, blocks array<string>", 256)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ r"""Mixing overlapping sources to target weights by min-cost flow.
    taken whole up to the one where the flow ends, and within that one documents are taken while they fit.  So a source
    that holds a third of all rows is never in one task.
 
-The flow is solved on the driver over one row per pattern; more than ``max_patterns`` patterns are refused, not cut.
+The flow is solved on the driver over one row per pattern; more than ``max_patterns`` patterns are refused, not cut.  Where no
+document has two sources, as in ``op4_mixing``, the same solver runs, and its flow is each source's target.
 
 Edge cases: a null or empty text has size 0 and is taken 0 times; a null source is a source, last in order; repeated rows
 are documents of their own; other columns are ignored; an empty table gives an empty result.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows, materialize, read_table
+from .common import id_type, map_rows, materialize, read_table, small_table
 
 MAX_PATTERNS = 100_000
 BUCKET_ROWS = 1000
@@ -76,7 +77,11 @@ def water_fill(capacity: dict, weight: dict, total: float, max_repeat: float) ->
 
 
 def min_cost_flow(arcs: list[tuple[int, int, float, float]], n: int, s: int, t: int) -> list[float]:
-    """Flow on each arc (from, to, capacity, cost) of a maximum flow of least cost, by successive shortest paths."""
+    """Flow on each arc (from, to, capacity, cost >= 0) of a maximum flow of least cost.
+
+    Primal-dual: shortest paths by reduced cost, then blocking flows over the arcs that lie on them, until t is out of reach.
+    Rounds are as many as path costs differ (here: as repetitions), not as there are paths.
+    """
     head: list[list[int]] = [[] for _ in range(n)]
     to, cap, cost = [], [], []
     for u, v, c, w in arcs:
@@ -87,7 +92,7 @@ def min_cost_flow(arcs: list[tuple[int, int, float, float]], n: int, s: int, t:
         cost += [float(w), -float(w)]
     eps, potential = 1e-9 * max([1.0, *cap]), [0.0] * n
     while True:
-        dist, via = [float("inf")] * n, [-1] * n
+        dist = [float("inf")] * n
         dist[s] = 0.0
         queue = [(0.0, s)]
         while queue:
@@ -98,27 +103,52 @@ def min_cost_flow(arcs: list[tuple[int, int, float, float]], n: int, s: int, t:
                 if cap[e] > eps:
                     nd = d + cost[e] + potential[u] - potential[to[e]]
                     if nd < dist[to[e]] - 1e-12:
-                        dist[to[e]], via[to[e]] = nd, e
+                        dist[to[e]] = nd
                         heapq.heappush(queue, (nd, to[e]))
-        if via[t] < 0:
+        if dist[t] == float("inf"):
             return [c - cap[2 * i] for i, (_, _, c, _) in enumerate(arcs)]
         for v in range(n):
-            if dist[v] < float("inf"):
-                potential[v] += dist[v]
-        push, v = float("inf"), t
-        while v != s:
-            push, v = min(push, cap[via[v]]), to[via[v] ^ 1]
-        v = t
-        while v != s:
-            cap[via[v]] -= push
-            cap[via[v] ^ 1] += push
-            v = to[via[v] ^ 1]
+            potential[v] += min(dist[v], dist[t])
+        tight = lambda e, u: cap[e] > eps and abs(cost[e] + potential[u] - potential[to[e]]) < 1e-9
+        while True:
+            level = [-1] * n
+            level[s] = 0
+            front = [s]
+            while front and level[t] < 0:
+                reached = []
+                for u in front:
+                    for e in head[u]:
+                        if level[to[e]] < 0 and tight(e, u):
+                            level[to[e]] = level[u] + 1
+                            reached.append(to[e])
+                front = reached
+            if level[t] < 0:
+                break
+            at, path = [0] * n, []  # a blocking flow: each arc is left behind once
+            while True:
+                u = to[path[-1]] if path else s
+                if u == t:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    path = path[: next(i for i, e in enumerate(path) if cap[e] <= eps)]
+                    continue
+                while at[u] < len(head[u]):
+                    e = head[u][at[u]]
+                    if level[to[e]] == level[u] + 1 and tight(e, u):
+                        break
+                    at[u] += 1
+                else:
+                    if not path:
+                        break
+                    at[to[path.pop() ^ 1]] += 1
+                    continue
+                path.append(e)
 
 
 def route(patterns: list[tuple[tuple, int]], target: dict, max_repeat: int) -> list[float]:
     """Tokens to take of each pattern (members, tokens)."""
-    if all(len(members) == 1 for members, _ in patterns):  # one arc chain a source: the flow is its target
-        return [min(target[m[0]], float(max_repeat * n)) for m, n in patterns]
     names = sorted(target, key=_order)
     at = {name: 1 + len(patterns) + i for i, name in enumerate(names)}
     end = 1 + len(patterns) + len(names)
@@ -179,9 +209,8 @@ def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed:
     for r, amount in zip(head, amounts):
         full = min(int(amount // r["tokens"]), max_repeat) if r["tokens"] else 0
         plan.append((r["pattern"], full, float(amount - full * r["tokens"]), max(1, -(-r["n"] // BUCKET_ROWS))))
-    plan_df = spark.createDataFrame(plan, "p string, full long, rest double, buckets long")
-    # at most max_patterns short rows
-    placed = rows.join(F.broadcast(plan_df), F.col("pattern") == F.col("p")).withColumn("h", F.xxhash64(order_by, F.lit(seed)))
+    plan_df = small_table(spark, plan, "p string, full long, rest double, buckets long")
+    placed = rows.join(plan_df, F.col("pattern") == F.col("p")).withColumn("h", F.xxhash64(order_by, F.lit(seed)))
     placed = placed.withColumn("bucket", F.pmod("h", "buckets"))
     from pyspark.sql import Window
 
@@ -189,15 +218,16 @@ def mix(docs: DataFrame, weights, share: float = 1.5, max_repeat: int = 2, seed:
     before = F.coalesce(F.sum("b").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = filled.select("pattern", "bucket", "b", "rest", before.alias("before")).where("before < rest and before + b >= rest")
     ends = materialize(ends.select(F.col("pattern").alias("ep"), F.col("bucket").alias("eb"), (F.col("rest") - F.col("before")).alias("gap")), "ends")
-    marked = placed.join(F.broadcast(ends) if len(plan) <= 10_000 else ends, F.col("pattern") == F.col("ep"), "left")
+    # written, so Spark broadcasts it only below its threshold
+    marked = placed.join(ends, F.col("pattern") == F.col("ep"), "left")
     whole = marked.where("eb is null or bucket <> eb").select("doc_id", "pattern", "size", "full", F.when(F.col("bucket") < F.col("eb"), 1).otherwise(0).cast("long").alias("extra"))
     kind = id_type(rows, "doc_id")
     last = marked.where("bucket = eb").select("doc_id", "pattern", "size", "full", "h", "gap", "bucket")
     last = last.groupBy("pattern", "bucket").applyInArrow(_fit, f"doc_id {kind}, pattern string, size long, full long, extra long")
     taken = whole.unionByName(last).withColumn("taken", (F.col("full") + F.col("extra")) * F.col("size"))
     # the members are read back from the plan: one short row a pattern
-    sources = spark.createDataFrame([(r["pattern"], list(r["sources"])) for r in head], "sp string, sources array<string>")
-    out = taken.join(F.broadcast(sources), F.col("pattern") == F.col("sp")).select("doc_id", "sources", "size", "taken", (F.col("full") + F.col("extra")).alias("copies"))
+    sources = small_table(spark, [(r["pattern"], list(r["sources"])) for r in head], "sp string, sources array<string>")
+    out = taken.join(sources, F.col("pattern") == F.col("sp")).select("doc_id", "sources", "size", "taken", (F.col("full") + F.col("extra")).alias("copies"))
     out.targets, out.source_sizes = target, size_of
     return out
 
@@ -210,7 +240,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sizes(read_table(spark, sf_dir, "documents"))
     mixed = mix(docs.select("doc_id", F.array("source").alias("sources"), "size"), cycle_weights)
     per_source = [(s, int(n), float(mixed.targets[s])) for s, n in mixed.source_sizes.items()]
-    table = spark.createDataFrame(per_source, "name string, source_size long, target double")
-    # one short row a source, at most MAX_PATTERNS
-    joined = mixed.join(F.broadcast(table), F.col("sources")[0].eqNullSafe(F.col("name")))
+    table = small_table(spark, per_source, "name string, source_size long, target double")
+    joined = mixed.join(table, F.col("sources")[0].eqNullSafe(F.col("name")))
     return joined.select("doc_id", F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, map_rows, materialize, read_table, utf8
+from .common import by_key, id_type, map_rows, materialize, read_table, utf8
 
 MAX_GROUP = 4096
 SMALL = 48
@@ -185,7 +185,7 @@ def _large_group(fp, weight, side, early, order, radius, step: int = 64):
     n = len(fp)
     planes = planes_of(fp)
     bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").astype(bool)
-    two = side.any()
+    two = bool(side[0])
     add, root = np.zeros(n, np.int64), np.arange(n)
     w = weight.astype(np.float64)
     for q0 in range(0, n, step):
@@ -205,7 +205,10 @@ def _large_group(fp, weight, side, early, order, radius, step: int = 64):
 
 
 def link_sorted(t, key, part, fp, weight, side, masks, radius):
-    """Links among rows sorted by (t, key, part): arrays (fp, add, root) of the rows that have any."""
+    """Links among rows sorted by (t, key, part): arrays (fp, add, root) of the rows that have any.
+
+    side: 0 in a part that is one chunk; 1 and 2 in a part of two chunks, of which only pairs across count.
+    """
     change = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1
     start = np.concatenate([[0], change])
     size = np.diff(np.append(start, len(fp)))
@@ -308,7 +311,7 @@ def near_duplicates(rows: DataFrame, radius: int = 3, max_group: int = MAX_GROUP
     chunked = keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hk")), "left").select("t", "key", "fp", "w", F.coalesce("chunks", F.lit(1)).alias("chunks"))
     chunked = chunked.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     pairs = chunked.select("t", "key", "fp", "w", "c", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    pairs = pairs.select("t", "key", (F.least("c", "o") * F.col("chunks") + F.greatest("c", "o")).alias("part"), "fp", "w", (F.col("c") > F.col("o")).cast("int").alias("side"))
+    pairs = pairs.select("t", "key", (F.least("c", "o") * F.col("chunks") + F.greatest("c", "o")).alias("part"), "fp", "w", F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"))
     grouped = pairs.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", "fp")
     links = materialize(grouped.mapInArrow(_linker(masks, radius), "fp long, near long, root long"), "links")
     near = links.groupBy("fp").agg(F.sum("near").alias("near")).withColumnRenamed("fp", "nfp")
@@ -316,8 +319,9 @@ def near_duplicates(rows: DataFrame, radius: int = 3, max_group: int = MAX_GROUP
     least = distinct.join(member, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("m").alias("cid")).withColumnRenamed("root", "r")
     component = member.join(least, F.col("root") == F.col("r")).select("node", "cid")
     per_fp = distinct.join(near, F.col("fp") == F.col("nfp"), "left").join(component, F.col("fp") == F.col("node"), "left")
-    per_fp = per_fp.select(F.col("fp").alias("pfp"), (F.col("w") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.coalesce("cid", "m").alias("component_id"))
-    return rows.join(per_fp, F.col("fp") == F.col("pfp")).select("doc_id", "fp", "n_near", "component_id")
+    per_fp = per_fp.select("fp", "w", (F.col("w") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.coalesce("cid", "m").alias("component_id"))
+    # a fingerprint of empty or copied texts may be that of a third of all rows
+    return by_key(rows, materialize(per_fp, "classes"), "fp", "w").select("doc_id", "fp", "n_near", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

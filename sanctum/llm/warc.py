@@ -25,9 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, materialize, new_path, open_fs, read_table, slices
+from .common import Decisions, by_key, id_type, materialize, new_path, open_fs, positioned, read_table, slices
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 29, 3
+#: Bytes of records that a task reads back, and frames of a bundle that it reads in a row.
+TASK_BYTES, RUN = 1 << 26, 16
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "bundle string, frame long, offset long, length long"
@@ -127,21 +129,27 @@ def parse_records(data: bytes):
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 100, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages to bundles in folder; the index (page_id, bundle, frame, offset, length) as a written table."""
-    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
-    digest = F.sha2("html", 256)
-    # only digests that occur twice travel on; the table is written, so Spark broadcasts it only below its threshold
-    seen = pages.where(F.octet_length("html") >= min_bytes).groupBy(digest.alias("rd")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    seen = materialize(seen.select("rd", "first"), "digests")
-    marked = pages.join(seen, digest == F.col("rd"), "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
-    kind = id_type(pages, "page_id")
+    payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
+    placed = positioned(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"), "__file", "__row")
+    # revisits are found on short rows, which carry their pages' positions; no payload is shuffled or joined
+    short = placed.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("digest"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    short = materialize(short, "digests")
+    seen = materialize(short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = by_key(short, seen, "digest", "n").where("page_id <> first")
+    decided = Decisions(again.select("file", "row", F.col("first").alias("refers_to")), placed)
+    kind = id_type(placed, "page_id")
 
     def run(batches):
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         writer, name = None, ""
         for b in slices(batches, 256):
+            refer = []
+            for i, j, found in decided.runs(*(b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))):
+                own = decided.table["refers_to"] if (found >= 0).any() else None
+                refer += [own[f].as_py() if f >= 0 else None for f in found.tolist()]
             rows = []
-            for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns[:3]), refer):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(fs.open_output_stream(f"{root}/{name}", compression=None), frame_bytes)
@@ -154,13 +162,16 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, frame_bytes: int
         if writer:
             writer.close()
 
-    return materialize(marked.mapInArrow(run, f"page_id {kind}, {INDEX}"), "index")
+    return materialize(placed.mapInArrow(run, f"page_id {kind}, {INDEX}"), "index")
 
 
-def read(index: DataFrame) -> DataFrame:
+def read(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Every record of the bundles in the index, read back frame by frame and held against its index entry: page_id (as
     string), record_type, refers_to (as string), payload_bytes, payload_digest, payload (null for a revisit), url."""
     places = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"), F.sum("offset").alias("check"))
+    # the index is short, what it stands for isn't: as many tasks as the records' bytes ask for, each reading runs of frames
+    content = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-content // task_bytes))
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "url"]
 
     def run(batches):
@@ -184,7 +195,7 @@ def read(index: DataFrame) -> DataFrame:
                 types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    placed = places.repartition("bundle").sortWithinPartitions("bundle", "frame")
+    placed = places.repartition(tasks, "bundle", F.floor(F.col("frame") / RUN)).sortWithinPartitions("bundle", "frame")
     return placed.mapInArrow(run, "page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, url string")
 
 
