@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sanctum.llm import mixing, packing, quality, secrets, simhash
-from sanctum.llm.common import by_position, materialize, positioned, read_table, row_id
+from sanctum.llm.common import WRITTEN, by_position, materialize, positioned, read_table, row_id, sweep
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), len(WRITTEN)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name)
+            sweep(spark, WRITTEN[before:-1])  # the stage's own tables and its input
     return docs

@@ -105,3 +105,17 @@ def test_stages(spark, tmp_path):
 def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    from sanctum.llm.common import WRITTEN, open_fs
+
+    spark.createDataFrame(corpus(), SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(WRITTEN)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and sum(r["length"] for r in rows if r["doc_id"] == rows[0]["doc_id"]) % rows[0]["doc_tokens"] == 0
+    own = WRITTEN[before:]
+    assert any("/mixing-" in p for p in own) and not any(f"/{name}-" in p for p in own for name in ("quality_rules", "near_duplicates", "secrets", "edges", "decisions"))
+    for p in own:
+        fs, path = open_fs(p)
+        assert fs.get_file_info(path).type.name == "Directory"
