@@ -54,6 +54,20 @@ def spans(text: Column, pattern: str, group: int = 0, trail: int = 0, guard: Col
     return F.when(hit, found).otherwise(F.array().cast(SPAN))
 
 
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(text: str, pattern: str, guard: str = "true") -> str:
+    """``spans`` of whole matches as SQL text over a column's name: one call to the JVM where Column objects take dozens."""
+    p = quoted(pattern)
+    zipped = "zip_with(z.m, slice(z.g, 1, size(z.m)), (m, g) -> struct(m AS m, g AS g))"
+    step = "struct(acc.at + length(x.g) + length(x.m) AS at, concat(acc.out, array(struct(acc.at + length(x.g) AS start, acc.at + length(x.g) + length(x.m) AS end, x.m AS value))) AS out)"
+    found = f"transform(array(struct(regexp_extract_all({text}, {p}, 0) AS m, split({text}, {p}, -1) AS g)), z -> aggregate({zipped}, struct(0 AS at, CAST(array() AS {SPAN}) AS out), (acc, x) -> {step}, acc -> acc.out))[0]"
+    return f"CASE WHEN {text} IS NOT NULL AND {guard} THEN {found} ELSE CAST(array() AS {SPAN}) END"
+
+
 def rewrite(text: Column, pattern: str, replace: Callable[[Column], Column], guard: Column | None = None) -> Column:
     """The text with each match m replaced by replace(m), a column expression."""
 

@@ -28,13 +28,23 @@ NON_BLOCKING = ("CLEAN_REF_NAMES",)
 DELIVERY_GATES = ("SECRETS", "PII_HIGH", "DICTIONARY", "ENDPOINTS", "ORG_NAME", "FORBIDDEN_FILES", "CONFIGS")
 
 
-def finding_gates(findings: DataFrame, strict: bool = False) -> DataFrame:
-    """(gate, description, blocking, failing_count, passed) in one pass over the findings."""
+#: Gate -> detector without which nothing is known of it; the others need ``regex``.
+GATE_DETECTORS = {"DICTIONARY": "dictionary", "ENDPOINTS": "endpoint", "ORG_NAME": "ner", "BRAND_IDENTIFIER": "brand", "BRAND_PATH": "path", "PACKAGE_NAMESPACE": "brand"}
+
+
+def finding_gates(findings: DataFrame, strict: bool = False, ran: Sequence[str] | None = None) -> DataFrame:
+    """(gate, description, blocking, failing_count, passed) in one pass over the findings.
+
+    ran: the detectors that ran, all by default.  A gate whose detector didn't run has null counts and isn't passed, unless
+    something was found for it all the same.
+    """
     gates = FINDING_GATES | (EXTENSIONS if strict else {})
     counts = findings.agg(*(F.count_if(F.coalesce(F.expr(test), F.lit(False))).alias(name) for name, (_, test) in gates.items()))
     rows = ", ".join(f"'{name}', '{text}', `{name}`" for name, (text, _) in gates.items())
     out = counts.selectExpr(f"stack({len(gates)}, {rows}) AS (gate, description, failing_count)")
-    return out.select("gate", "description", F.lit(True).alias("blocking"), "failing_count", (F.col("failing_count") == 0).alias("passed"))
+    unknown = [g for g in gates if ran is not None and GATE_DETECTORS.get(g, "regex") not in ran]
+    known = ~F.col("gate").isin(*unknown, "") | (F.col("failing_count") > 0)
+    return out.select("gate", "description", F.lit(True).alias("blocking"), F.when(known, F.col("failing_count")).alias("failing_count"), (known & (F.col("failing_count") == 0)).alias("passed"))
 
 
 def count_gate(name: str, description: str, failing: DataFrame) -> DataFrame:
@@ -55,7 +65,7 @@ def stray_configs(output_paths: DataFrame, allow_suffixes: Sequence[str]) -> Dat
 
 
 def config_valid(data: Column, path: Column) -> Column:
-    """Whether a structured file parses: JSON, TOML, XML, and YAML where a parser is installed; null for others."""
+    """Whether a structured file parses: JSON, TOML, XML, and YAML (by its shape where no parser is installed); null for others."""
 
     @F.pandas_udf("boolean")
     def parse(texts: pd.Series, exts: pd.Series) -> pd.Series:
@@ -82,7 +92,7 @@ def parses(text: str | None, ext: str) -> bool | None:
             try:
                 import yaml
             except ImportError:
-                return None
+                return yaml_shape(text)
             list(yaml.safe_load_all(text))
         else:
             return None
@@ -91,6 +101,67 @@ def parses(text: str | None, ext: str) -> bool | None:
     return True
 
 
+def yaml_shape(text: str) -> bool:
+    """Whether a text may be YAML, for want of a parser: no tab in an indent, quotes and brackets closed, and on lines that are
+    neither in a block text nor in brackets a key, an item or a scalar of one line, indented as one of those around it.
+
+    It finds what a rewrite breaks (quotes, brackets, indents), not every error.
+    """
+    import re
+
+    line_of = re.compile(r"( *)(- +|-$)*(?:(\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s#\"'\[\]{}&*!|>%@`,-][^#\n]*?|-[^\s#][^#\n]*?)\s*:(?=\s|$))?\s*(.*)$")
+    open_, block, indents = [], None, [0]
+    for line in text.split("\n"):
+        line = line.rstrip()
+        depth = len(line) - len(line.lstrip(" "))
+        if not line.strip() or line.lstrip().startswith("#") or line in ("---", "...") or line.startswith("%"):
+            continue
+        if block is not None:
+            if depth > block:
+                continue
+            block = None
+        if line[depth] == "\t":
+            return False
+        value = line
+        if not open_:
+            m = line_of.match(line)
+            while indents and depth < indents[-1]:
+                indents.pop()
+            if not indents or depth not in indents and depth > indents[-1]:
+                indents.append(depth)
+            elif depth != indents[-1]:
+                return False
+            value = m[4]
+            if re.match(r"[|>][-+\d]*(?:\s+#.*)?$", value):
+                block = depth
+                continue
+            if value[:1] in ("@", "`", "%") or m[3] is not None and re.match(r"[^\s\"'\[{&*!#][^\"'\[{]*:\s", value):
+                return False
+        quote, before = "", " "
+        i = 0
+        while i < len(value):
+            c = value[i]
+            if quote:
+                if c == "\\" and quote == '"':
+                    i += 1
+                elif c == quote:
+                    quote = ""
+            elif c in "\"'" and before in " [{,:(" and (i == 0 or open_ or not value[:i].strip()):
+                quote = c
+            elif c == "#" and before == " ":
+                break
+            elif c in "[{" and (open_ or not value[:i].strip()):
+                open_.append("]" if c == "[" else "}")
+            elif c in "]}" and open_:
+                if open_.pop() != c:
+                    return False
+            before = c
+            i += 1
+        if quote:
+            return False
+    return not open_
+
+
 def parse_regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths valid before and invalid after; files that are gone are no regression."""
     b, a = before.select("path", F.col("valid").alias("was")), after.select("path", F.col("valid").alias("is"))
@@ -111,7 +182,29 @@ def branches_lost(intake: DataFrame, kept: DataFrame) -> DataFrame:
     return intake.join(kept.select("slug").distinct(), "slug", "left_anti")
 
 
-def all_passed(gates: DataFrame) -> DataFrame:
+def delivery_gates(inventory: DataFrame, output_paths: DataFrame, allow_suffixes: Sequence[str], configs_before: DataFrame, configs_after: DataFrame, refs: DataFrame, intake: DataFrame, kept: DataFrame, brands: Sequence[str] = (), pattern: str = r"@") -> DataFrame:
+    """The gates on what is delivered besides its texts: (gate, description, blocking, failing_count, passed).
+
+    inventory: (path, action); output_paths: (path); configs: (path, valid); refs: full names (name); intake, kept: (slug).
+    """
+    branches = refs.where("name LIKE 'refs/heads/%'").select(F.substring("name", F.lit(12), F.length("name")).alias("name"))
+    parts = [
+        count_gate("FORBIDDEN_FILES", "no forbidden files", forbidden_files(inventory, output_paths)),
+        count_gate("CONFIGS", "no configuration but samples", stray_configs(output_paths, allow_suffixes)),
+        count_gate("PARSEABLE_CONFIGS", "no structured file broken", parse_regressions(configs_before, configs_after)),
+        count_gate("NO_TAGS", "no tags", refs.where("name LIKE 'refs/tags/%'")),
+        count_gate("BRANCHES_PRESERVED", "no branch lost", branches_lost(intake, kept)),
+        count_gate("CLEAN_REF_NAMES", "no brand or personal data in branch names", clean_refs(branches, brands, pattern)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def all_passed(gates: DataFrame, waive: Sequence[str] = ()) -> DataFrame:
+    """Whether all blocking gates passed, but for those waived."""
+    gates = gates.where(~F.col("gate").isin(*waive, ""))
     return gates.agg(F.coalesce(F.bool_and(F.when(F.col("blocking"), F.col("passed"))), F.lit(True)).alias("passed"))
 
 

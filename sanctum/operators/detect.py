@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import value_hash
-from ..functions.predicates import contains_mask, entropy, in_version_context, is_listed, is_public_ip, is_public_ipv4, is_template, luhn, ru_legal_id
-from ..functions.spans import any_of, bind, inside, line_of, spans
+from ..functions.predicates import MASKED as MASKED_VALUE
+from ..functions.predicates import TEMPLATE, contains_mask, entropy, in_version_context, is_listed, is_public_ip, is_public_ipv4, is_template, luhn, ru_legal_id
+from ..functions.spans import any_of, bind, inside, line_of, quoted, spans, spans_sql
 from ..rules import GENERIC_INTERNAL, GENERIC_LABELS, HOST_RULES, INTERNAL_TLDS, LEGAL_FORMS, UNIVERSAL_HOSTS, Rule, Rulepack
 
 FOUND = "array<struct<detector:string,rule:string,category:string,severity:string,start:int,end:int,value:string>>"
@@ -25,14 +26,14 @@ DIGIT_RUN = r"(?<![.\w])\d{10}(?:\d{5}|\d{2,3})?(?![.\w])"
 
 
 def lit_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(map(quoted, values))})") if values else F.array().cast("array<string>")
 
 
 def guard_of(rule: Rule, text: Column) -> Column | None:
-    """A test that any text with a match of the rule passes; rules without literals look for their first match."""
-    if rule.guard:
-        return any_of(F.lower(text) if rule.fold else text, rule.guard)
-    return text.rlike(rule.pattern)
+    """A test that any text with a match of the rule passes; a rule with neither literals nor a cheap pattern has none."""
+    if not rule.guard:
+        return text.rlike(rule.scan) if rule.scan else None
+    return bind(F.lower(text), lambda low: any_of(low, rule.guard)) if rule.fold else any_of(text, rule.guard)
 
 
 def kept_host(host: Column, keep: Sequence[str] = ()) -> Column:
@@ -42,7 +43,7 @@ def kept_host(host: Column, keep: Sequence[str] = ()) -> Column:
     def test(h):
         quad = h.rlike(r"^\d{1,3}([.]\d{1,3}){3}$")
         kept = is_listed(h, lit_array(keep)) if keep else F.lit(False)
-        known = F.when(F.contains(h, F.lit(".")), is_listed(h, lit_array(UNIVERSAL_HOSTS))).otherwise(h.isin(*GENERIC_LABELS))
+        known = F.when(F.contains(h, F.lit(".")), is_listed(h, lit_array(UNIVERSAL_HOSTS))).otherwise(F.array_contains(lit_array(GENERIC_LABELS), h))
         return (h == "") | kept | F.when(quad, ~is_public_ipv4(h)).otherwise(known)
 
     return bind(h, test)
@@ -53,6 +54,12 @@ def _found(found: Column, detector: str, rule: Column | str, category: str, seve
     return F.transform(found, lambda s: F.struct(F.lit(detector).alias("detector"), name.alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
+def names_somebody(connection: Column, keep: Sequence[str] = ()) -> Column:
+    """Whether a connection string has user info or a host that isn't kept."""
+    host = F.regexp_extract(connection, r"^[^/]*//(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
+    return F.contains(connection, F.lit("@")) | ~kept_host(host, keep)
+
+
 def rule_spans(text: Column, rule: Rule, zones: Column | None = None, keep: Sequence[str] = (), whole: bool = True) -> Column:
     """Spans of a rule, but for values that are templates or masked already, cards that fail Luhn's check, and
     connection strings to kept hosts.  whole: the span of the match rather than of its group."""
@@ -63,8 +70,7 @@ def rule_spans(text: Column, rule: Rule, zones: Column | None = None, keep: Sequ
         if rule.route == "luhn":
             ok = ok & luhn(s["value"])
         if rule.name in HOST_RULES:
-            host = F.regexp_extract(s["value"], r"^[^/]*//(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
-            ok = ok & (F.contains(s["value"], F.lit("@")) | ~kept_host(host, keep))
+            ok = ok & names_somebody(s["value"], keep)
         if zones is not None:
             ok = ok & inside(s, zones)
         return ok
@@ -72,8 +78,28 @@ def rule_spans(text: Column, rule: Rule, zones: Column | None = None, keep: Sequ
     return F.filter(found, test)
 
 
-def regex_detector(text: Column, pack: Rulepack, zones: Column | None = None) -> Column:
-    parts = [_found(rule_spans(text, r, zones, pack.keep), "regex", r.name, r.category, r.severity) for r in pack.rules]
+def _guard_sql(rule: Rule, text: str) -> str:
+    if not rule.guard:
+        return f"{text} RLIKE {quoted(rule.scan)}" if rule.scan else "true"
+    hits = lambda x: " OR ".join(f"contains({x}, {quoted(g)})" for g in rule.guard)
+    return f"exists(array(lower({text})), l -> {hits('l')})" if rule.fold else f"({hits(text)})"
+
+
+def regex_detector(text: str, pack: Rulepack, zones: str | None = None) -> Column:
+    """The rules' findings, as ``rule_spans`` has them.  text and zones are names of columns: a scan has some forty rules, and
+    each is one expression of SQL text."""
+    parts = []
+    for r in pack.rules:
+        tests = [f"NOT (contains(s.value, '.example.invalid') OR s.value RLIKE {quoted(MASKED_VALUE)} OR s.value RLIKE {quoted(TEMPLATE)})"]
+        if zones:
+            tests.append(f"({zones} IS NULL OR coalesce(exists({zones}, z -> z.start <= s.start AND s.end <= z.end), false))")
+        kind = f"'regex' AS detector, {quoted(r.name)} AS rule, '{r.category}' AS category, '{r.severity}' AS severity"
+        found = F.expr(f"transform(filter({spans_sql(text, r.pattern, _guard_sql(r, text))}, s -> {' AND '.join(tests)}), s -> struct({kind}, s.start AS start, s.end AS end, s.value AS value))")
+        if r.route == "luhn":
+            found = F.filter(found, lambda s: luhn(s["value"]))
+        if r.name in HOST_RULES:
+            found = F.filter(found, lambda s: names_somebody(s["value"], pack.keep))
+        parts.append(found)
     return F.concat(*parts) if parts else F.array().cast(FOUND)
 
 
@@ -201,6 +227,68 @@ def dictionary_findings(targets: DataFrame, terms: Sequence[tuple[str, str]], ke
     return targets.mapInPandas(run, f"{fields}, dict string, term string, start int, end int, value string")
 
 
+def brand_detector(text: Column, path: Column, terms: Sequence[tuple[str, str]]) -> Column:
+    """Brand terms in code, outside strings and comments: within imports and package declarations PACKAGE_NAMESPACE, else
+    BRAND_IDENTIFIER.  Files of unknown languages have no code to tell from prose."""
+    terms = sorted({t.lower() for _, t in terms if t})
+
+    def run(texts: pd.Series, families: pd.Series) -> pd.Series:
+        import re
+
+        import ahocorasick
+
+        from .zones import IMPORTS, lexer_zones
+
+        a, imports = ahocorasick.Automaton(), re.compile(IMPORTS)
+        for t in terms:
+            a.add_word(t, len(t))
+        a.make_automaton()
+        out = []
+        for text, family in zip(texts, families):
+            found = []
+            hits = [(end + 1 - n, end + 1) for end, n in a.iter(same_length_lower(text))] if text and family else []
+            if hits:
+                skip, packages = lexer_zones(text, family), [m.span() for m in imports.finditer(text)]
+                for s, e in hits:
+                    if not _within(s, e, skip):
+                        category = "PACKAGE_NAMESPACE" if _within(s, e, packages) else "BRAND_IDENTIFIER"
+                        found.append({"detector": "brand", "rule": "term", "category": category, "severity": "HIGH", "start": s, "end": e, "value": text[s:e]})
+            out.append(found)
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    from .zones import family
+
+    run.__annotations__ = {"texts": pd.Series, "families": pd.Series, "return": pd.Series}
+    return F.coalesce(F.pandas_udf(run, FOUND)(text, family(path)), F.array().cast(FOUND))
+
+
+def _within(start: int, end: int, zones: list[tuple[int, int]]) -> bool:
+    """Whether a span lies in one of the sorted, disjoint zones."""
+    from bisect import bisect_right
+
+    i = bisect_right(zones, (start, float("inf"))) - 1
+    return i >= 0 and end <= zones[i][1]
+
+
+def same_length_lower(text: str) -> str:
+    """Lower case sign by sign: those that would become two stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def path_findings(targets: DataFrame, pack: Rulepack) -> DataFrame:
+    """Brand terms in the targets' paths, each (prefix, term) of a scope once, as rows of ``findings``."""
+    paths = targets.select("scope", "path").where("path is not null").distinct()
+    wanted = F.explode(lit_array([t for _, t in pack.terms()])).alias("term")
+    parts = paths.select("scope", "path", F.posexplode(F.split("path", "/")).alias("pos", "part"))
+    hits = parts.select("*", wanted).where(F.contains(F.lower("part"), F.col("term")))
+    prefix = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("pos") + 1), "/")
+    own = hits.select("scope", "path", prefix.alias("prefix"), "part", "term").groupBy("scope", "prefix", "term").agg(F.min("path").alias("path"), F.first("part").alias("part"))
+    start = (F.length("prefix") - F.length("part") + F.call_function("locate", F.col("term"), F.lower("part")) - 1).cast("int")
+    value = F.substring("path", start + 1, F.length("term"))
+    return own.select("scope", F.lit(None).cast("string").alias("object_id"), "path", F.lit("path").alias("detector"), F.lit("term").alias("rule"), F.lit("BRAND_PATH").alias("category"), F.lit("HIGH").alias("severity"), F.lit(0).alias("line"), start.alias("offset_start"), (start + F.length("term")).cast("int").alias("offset_end"), value.alias("matched_value"), value_hash(value).alias("value_hash"))
+
+
 def path_brand_findings(paths: DataFrame, terms: Sequence[str], path_col: str = "path") -> DataFrame:
     """(path, prefix, value): brand terms in the parts of paths, once for each (prefix through the part, term)."""
     wanted = F.explode(lit_array([t.lower() for t in terms])).alias("term")
@@ -327,8 +415,8 @@ def entropy_of(values: DataFrame, column: str = "value") -> DataFrame:
     return values.withColumn("entropy", F.round(entropy(F.col(column)), 6))
 
 
-#: Of a scan; the dictionary detector needs terms in the rulepack and the entity detector a model, else they find nothing.
-DETECTORS = ("regex", "legal_id", "endpoint", "ipv6", "dictionary", "ner")
+#: Of a scan; the dictionary, brand and path detectors look for the rulepack's terms, the entity detector needs a model.
+DETECTORS = ("regex", "legal_id", "endpoint", "ipv6", "dictionary", "brand", "path", "ner")
 #: Masks of findings, in which terms and entities aren't looked for.
 MASKED = r"(?:TERM|REDACTED(?:_[A-Z]+)?|ANON_(?:PER|ORG))_[\da-f]{12}|[\da-f]{8,12}[.]example[.]invalid|2001:db8::[\da-f]{4}"
 
@@ -375,9 +463,7 @@ def dictionary_detector(text: Column, terms: Sequence[tuple[str, str]]) -> Colum
             a.add_word(t, (t, d))
         a.make_automaton()
         for text in texts:
-            low = text.lower()
-            if len(low) != len(text):  # some signs are two in lower case
-                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            low = same_length_lower(text)
             hits = [(end + 1 - len(t), end + 1, d) for end, (t, d) in a.iter(low)]
             masks = [m.span() for m in masked.finditer(text)] if hits else []
             out.append([("dictionary", d, "DICTIONARY", "HIGH", s, e, text[s:e]) for s, e, d in hits if not any(x <= s and e <= y for x, y in masks)])
@@ -415,7 +501,7 @@ def found_by(targets: DataFrame, pack: Rulepack, detectors: Sequence[str] = DETE
     zones = F.col("zones") if "zones" in targets.columns else None
     parts, free = [F.array().cast(FOUND)], []
     if "regex" in detectors:
-        parts.append(regex_detector(text, pack, zones))
+        parts.append(regex_detector("content", pack, None if zones is None else "zones"))
     if "legal_id" in detectors:
         parts.append(legal_id_detector(text, zones))
     if "endpoint" in detectors:
@@ -424,6 +510,8 @@ def found_by(targets: DataFrame, pack: Rulepack, detectors: Sequence[str] = DETE
         free.append(ipv6_detector(text, pack.keep))
     if "dictionary" in detectors and pack.terms():
         free.append(dictionary_detector(text, pack.terms()))
+    if "brand" in detectors and pack.terms() and "path" in targets.columns:
+        parts.append(brand_detector(text, F.col("path"), pack.terms()))  # code has no other zones than its own
     if "ner" in detectors and model is not None:
         free.append(ner_detector(text, model, pack))
     return F.concat(*parts, *(f if zones is None else F.filter(f, lambda s: inside(s, zones)) for f in free))
@@ -436,4 +524,8 @@ def findings(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequen
     keys = [c for c in ("scope", "object_id", "path") if c in targets.columns]
     found = targets.withColumn("_found", found_by(targets, pack or Rulepack(), detectors, model)).select(*keys, "content", F.explode("_found").alias("f"))
     f = F.col("f")
-    return found.select(*keys, f["detector"].alias("detector"), f["rule"].alias("rule"), f["category"].alias("category"), f["severity"].alias("severity"), line_of(text, f["start"]).alias("line"), f["start"].alias("offset_start"), f["end"].alias("offset_end"), f["value"].alias("matched_value"), value_hash(f["value"]).alias("value_hash"))
+    out = found.select(*keys, f["detector"].alias("detector"), f["rule"].alias("rule"), f["category"].alias("category"), f["severity"].alias("severity"), line_of(text, f["start"]).alias("line"), f["start"].alias("offset_start"), f["end"].alias("offset_end"), f["value"].alias("matched_value"), value_hash(f["value"]).alias("value_hash"))
+    pack = pack or Rulepack()
+    if "path" in detectors and pack.terms() and {"scope", "path"} <= set(keys):
+        out = out.unionByName(path_findings(targets, pack).select(*out.columns) if "object_id" in keys else path_findings(targets, pack).drop("object_id"))
+    return out

@@ -131,6 +131,64 @@ def replace_literals(text: Column, values: Iterable[str], salt: bytes, prefix: s
     return out
 
 
+def replace_harvest(df: DataFrame, column: str, path: str, salt: bytes, prefix: str) -> DataFrame:
+    """A column with the literals of a written table (value) masked, longest first where they overlap at a start; identifiers
+    only where they stand alone.  Each worker builds one automaton of them; texts without any pass untouched."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        import hashlib
+        import hmac
+
+        automaton = _automaton_of(path)
+        if automaton is None:
+            return texts
+        word = re.compile(r"\w", re.A)
+        plain = re.compile(r"[A-Za-z_]\w*", re.A)
+
+        def one(text):
+            if not text:
+                return text
+            hits = []
+            for end, n in automaton.iter(text):
+                s, e = end + 1 - n, end + 1
+                if plain.fullmatch(text[s:e]) and (s and word.match(text[s - 1]) or e < len(text) and word.match(text[e])):
+                    continue
+                hits.append((s, -e))
+            out, at = [], 0
+            for s, e in sorted(hits):
+                if s >= at:
+                    out += [text[at:s], prefix, hmac.new(salt, text[s:-e].encode(), hashlib.sha256).hexdigest()[:12]]
+                    at = -e
+            return "".join([*out, text[at:]]) if out else text
+
+        return texts.map(one)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return df.withColumn(column, F.pandas_udf(run, "string")(F.col(column)))
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def _automaton_of(path: str):
+    if path not in _AUTOMATA:
+        import ahocorasick
+        import pyarrow.dataset
+        import pyarrow.fs
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        a = ahocorasick.Automaton()
+        for batch in pyarrow.dataset.dataset(root, filesystem=fs, format="parquet").to_batches(columns=["value"]):
+            for v in batch.column(0).to_pylist():
+                a.add_word(v, len(v))
+        _AUTOMATA.clear()
+        _AUTOMATA[path] = None
+        if len(a):
+            a.make_automaton()
+            _AUTOMATA[path] = a
+    return _AUTOMATA[path]
+
+
 def safe_literals(values: DataFrame, basenames: DataFrame | None = None, declared: DataFrame | None = None, secret: bool = True, column: str = "value") -> DataFrame:
     """Distinct values fit for exact replacement: no dotted versions, bare domains, file names, declared names or, of secrets,
     short or plain identifiers."""
@@ -221,8 +279,16 @@ def rewrite_path(path: Column, denied: Column, brands: Iterable[Brand]) -> Colum
     return F.when(denied, "").otherwise(apply_brand_map(path, brands))
 
 
+def scrubbed_refs(refs: DataFrame, salt: bytes, brands: Iterable[Brand] = (), rules: Sequence[Rule] = tuple(RULES), keep: Sequence[str] = (), name: str = "name") -> DataFrame:
+    """refs with ``slug``: the name after brands and whole-text scrubbing, as a valid ref name."""
+    out = refs.withColumn("slug", apply_brand_map(F.col(name), brands))
+    out = scrub(out, "slug", salt, rules, keep)
+    return out.withColumn("slug", ref_slug(F.col("slug"), salt))
+
+
 def ref_slug(name: Column, salt: bytes) -> Column:
-    """A valid ref name: each part reduced to safe signs; names with nothing left get ``branch-`` and a hash."""
+    """A valid ref name of a name already scrubbed: each part reduced to safe signs; names with nothing left get ``branch-`` and
+    a hash."""
 
     def part(p):
         p = F.regexp_replace(p, r"[^\w.+@-]+", "-")
@@ -242,30 +308,34 @@ def disambiguate(df: DataFrame, base: str, order: Sequence[str], out: str = "key
     return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
 
 
-def resolve_refs(refs: DataFrame, slug: str = "slug", first: str | None = None, name: str = "name", group: str | None = None) -> DataFrame:
+def resolve_refs(refs: DataFrame, slug: str = "slug", first: str | None = None, name: str = "name", *, group: str) -> DataFrame:
     """(group, name, slug, ref): collision-free refs within each group, e.g. a repository.  Equal names and names that are a
     folder of another are flattened, then numbered; ``first`` is served before the others."""
-    group_col = F.col(group) if group else F.lit("")
-
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(_late=f["name"] != (first or "")).sort_values(["_late", "name"], kind="stable")
         used: set[str] = set()
+        folders: set[str] = set()
+        number: dict[str, int] = {}
+
+        def above(ref):
+            return [ref[:i] for i, c in enumerate(ref) if c == "/"]
 
         def free(ref):
-            return ref not in used and not any(u.startswith(ref + "/") or ref.startswith(u + "/") for u in used)
+            return ref not in used and ref not in folders and used.isdisjoint(above(ref))
 
         out = []
         for s in f["slug"]:
             ref = s if free(s) else s.replace("/", "-")
-            n = 2
             base = ref
             while not free(ref):
-                ref, n = f"{base}-{n}", n + 1
+                number[base] = number.get(base, 1) + 1
+                ref = f"{base}-{number[base]}"
             used.add(ref)
+            folders.update(above(ref))
             out.append(ref)
         return f.assign(ref=out)[["grp", "name", "slug", "ref"]]
 
-    source = refs.select(group_col.cast("string").alias("grp"), F.col(name).alias("name"), F.col(slug).alias("slug"))
+    source = refs.select(F.col(group).cast("string").alias("grp"), F.col(name).alias("name"), F.col(slug).alias("slug"))
     return source.groupBy("grp").applyInPandas(run, "grp string, name string, slug string, ref string")
 
 

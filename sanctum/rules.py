@@ -13,7 +13,8 @@ DETECTION_ONLY = ["BRAND_IDENTIFIER", "BRAND_PATH", "PACKAGE_NAMESPACE"]
 @dataclass(frozen=True)
 class Rule:
     """A pattern.  route: how it is rewritten; group: what of the match is the value, which ends ``trail`` signs before the
-    match; guard: literals of which any match holds one, compared in lower case if ``fold``."""
+    match; guard: literals of which any match holds one, compared in lower case if ``fold``; scan: where
+    there are no literals, a cheap pattern found in any match."""
 
     name: str
     pattern: str
@@ -24,6 +25,7 @@ class Rule:
     trail: int = 0
     guard: tuple[str, ...] = ()
     fold: bool = False
+    scan: str = ""
 
 
 _NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![A-Za-z\d])", r"(?![A-Za-z\d])"
@@ -34,6 +36,9 @@ _URL_REST = r"[^\s\"'<>]+"
 _PARAMS = "access[-_]?token|api[-_]?key|auth|client[-_]?secret|credential|key|pass(?:wd|word)|pwd|secret|security[-_]?token|sig(?:nature)?|token|x-amz-(?:credential|security-token|signature)|x-goog-signature"
 
 
+_KEY_NAMES = tuple(a + sep + b for a, b in (("api", "token"), ("api", "key"), ("access", "token"), ("auth", "token"), ("private", "key"), ("secret", "key")) for sep in ("", "-", ".", "_"))
+
+
 def _pii(name, pattern, severity="HIGH", **more):
     return Rule(name, pattern, "PII", severity, **more)
 
@@ -45,11 +50,11 @@ def _endpoint(name, schemes, guard, severity="HIGH", pattern=None):
 RULES: list[Rule] = [
     _pii("email", r"[+%.\w-]+@(?:[A-Za-z\d-]+[.])+(?!invalid\b)[A-Za-z]{2,}(?![A-Za-z\d]|[.][A-Za-z\d]|:[^@\s]*/)", route="email", guard=("@",)),
     _pii("phone_e164", _NOT_WORD_BEFORE + r"[+][1-9]\d{6,14}" + _NOT_WORD_AFTER, route="phone", guard=("+",)),
-    _pii("phone_ru", _NOT_WORD_BEFORE + r"(?:[+]7|8)[-\s]?[(]?\d{3}[)]?(?:[-\s]?\d{3})(?:[-\s]?\d{2}){2}" + _NOT_WORD_AFTER, route="phone"),
+    _pii("phone_ru", _NOT_WORD_BEFORE + r"(?:[+]7|8)[-\s]?[(]?\d{3}[)]?(?:[-\s]?\d{3})(?:[-\s]?\d{2}){2}" + _NOT_WORD_AFTER, route="phone", scan=r"\d{3}"),
     _pii("ssn", r"\b(?!9\d\d|666|000)\d{3}-(?!00)\d\d-(?!0{4})\d{4}\b", "CRITICAL", guard=("-",)),
-    _pii("credit_card", r"\b(?:3[47]\d\d|4\d{3}|5[1-5]\d\d|6011|65\d\d)(?:[-\s]?\d{4}){2}[-\s]?\d{3,4}\b", "CRITICAL", route="luhn"),
-    _pii("iban", r"\b[A-Z]{2}\d\d[\dA-Z]{4}\d{7}[\dA-Z]{0,16}\b"),
-    _pii("passport_ru", r"\b\d\d\d\d\s\d{6}\b", "CRITICAL"),
+    _pii("credit_card", r"\b(?:3[47]\d\d|4\d{3}|5[1-5]\d\d|6011|65\d\d)(?:[-\s]?\d{4}){2}[-\s]?\d{3,4}\b", "CRITICAL", route="luhn", scan=r"\d{4}"),
+    _pii("iban", r"\b[A-Z]{2}\d\d[\dA-Z]{4}\d{7}[\dA-Z]{0,16}\b", scan=r"\d{7}"),
+    _pii("passport_ru", r"\b\d\d\d\d\s\d{6}\b", "CRITICAL", scan=r"\d{6}"),
     _pii("inn_ru", r"\b(?:INN|ИНН)[\s:]*\d{10,12}\b", guard=("INN", "ИНН")),
     _pii("ogrn_ru", r"\b(?:OGRN|ОГРН)(?:IP|ИП)?[\s:№]*\d{13}(?:\d\d)?\b", guard=("OGRN", "ОГРН")),
     _pii("kpp_ru", r"\b(?:KPP|КПП)[\s:№]*\d{9}\b", guard=("KPP", "КПП")),
@@ -74,7 +79,7 @@ RULES: list[Rule] = [
     Rule("twilio_sid", r"\bAC[\da-f]{32}\b", severity="HIGH", guard=("AC",)),
     Rule("mailchimp_api_key", r"[\da-f]{32}-us\d{1,2}", severity="HIGH", guard=("-us",)),
     Rule("telegram_bot_token", r"\b\d{9,10}:[\w-]{35}\b", guard=(":",)),
-    Rule("generic_api_key", r"(?i)(?:api[-._]?(?:token|key)|access[-._]?token|auth[-._]?token|private[-._]?key|secret[-._]?key)[\s\":=]+[\"']([\w+/=-]{20,})[\"']", severity="HIGH", route="grouped", group=1, trail=1, guard=("key", "token"), fold=True),
+    Rule("generic_api_key", r"(?i)(?:api[-._]?(?:token|key)|access[-._]?token|auth[-._]?token|private[-._]?key|secret[-._]?key)[\s\":=]+[\"']([\w+/=-]{20,})[\"']", severity="HIGH", route="grouped", group=1, trail=1, guard=_KEY_NAMES, fold=True),
     Rule("config_assignment_secret", rf"(?i)\b[.\w]*(?:{KEYWORDS})\b[\"']?\s*[=:]\s*[\"']?{_NOT_MASKED}{_NOT_PLACEHOLDER}([\w!#&*+./:=@^|~-]{{5,}})", severity="HIGH", route="grouped", group=1, guard=("pass", "pwd", "secret", "token", "key", "salt"), fold=True),
     Rule("basic_auth_in_url", r"https?://[\w%+.-]+:[\w!#$%&()*+.@^-]{4,}@[A-Za-z\d.-]+", route="host", guard=("://",)),
     Rule("secret_url_param", rf"(?i)[&?](?:{_PARAMS})=[^\s\"'&<>]+", severity="HIGH", route="param", guard=("=",)),

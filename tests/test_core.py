@@ -204,7 +204,9 @@ def test_sanitise_converges(spark):
     out = sanitise.sanitise(df, SALT)
     rows = {r["object_id"]: r["content"] for r in out.targets.collect()}
     assert rows["2"] == "clean" and rows["3"] is None and "bob" not in rows["1"] and "hunter22" not in rows["1"]
-    assert out.findings.count() == 0 and all(g["passed"] for g in out.gates.collect())
+    gates = {g["gate"]: (g["failing_count"], g["passed"]) for g in out.gates.collect()}
+    assert out.findings.count() == 0 and gates.pop("ORG_NAME") == (None, False) and set(gates.values()) == {(0, True)}  # no model ran
+    assert audit.all_passed(out.gates, ["ORG_NAME"]).first()[0] and not audit.all_passed(out.gates).first()[0]
     again = {r["object_id"]: r["content"] for r in sanitise.sanitise_once(out.targets, SALT).collect()}
     assert again == rows
 
@@ -225,8 +227,8 @@ def test_refs(spark):
     names = ["feature/bob smith", "a..b/.c.lock", "///", "HEAD", "ok"]
     got = values(spark, "t", names, rewrite.ref_slug(F.col("t"), SALT))
     assert got[:2] == ["feature/bob-smith", "a.b/c"] and got[2].startswith("branch-") and got[3].startswith("branch-") and got[4] == "ok"
-    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x/y"), ("main", "x")], "name string, slug string")
-    refs = {r["name"]: r["ref"] for r in rewrite.resolve_refs(df, first="main").collect()}
+    df = spark.createDataFrame([("a", "x", "r"), ("b", "x", "r"), ("c", "x/y", "r"), ("main", "x", "r")], "name string, slug string, repo string")
+    refs = {r["name"]: r["ref"] for r in rewrite.resolve_refs(df, first="main", group="repo").collect()}
     assert refs["main"] == "x" and len(set(refs.values())) == 4 and not any(p != q and q.startswith(p + "/") for p in refs.values() for q in refs.values())
     tips = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "branch string, tip string")
     got = {r[0]: r[1] for r in rewrite.reconcile(tips, spark.createDataFrame([("1", "9"), ("2", "000")], "old string, new string"), spark.createDataFrame([("b", "8")], "b string, t string")).collect()}
