@@ -95,9 +95,10 @@ def scrub_url_hosts(text: Column, salt: bytes, keep: Sequence[str] = ()) -> Colu
     return rewrite(text, URL_HOST, one, F.contains(F.lower(text), F.lit("://")))
 
 
-def scrub_public_ipv4(text: Column, salt: bytes, keep: Sequence[str] = (), window: int = 28) -> Column:
+def scrub_public_ipv4(text: Column, salt: bytes, keep: Sequence[str] = (), window: int = 28, version_aware: bool = True) -> Column:
+    """Public IPv4 addresses to the documentation range; version_aware: but for those in version fields."""
     found = spans(text, IPV4, guard=text.rlike(r"\d[.]\d{1,3}[.]\d{1,3}[.]\d"))
-    kept = F.filter(found, lambda s: is_public_ipv4(s["value"]) & ~s["value"].isin(*keep, "") & ~in_version_context(text, s["start"], window))
+    kept = F.filter(found, lambda s: is_public_ipv4(s["value"]) & ~s["value"].isin(*keep, "") & (~in_version_context(text, s["start"], window) if version_aware else F.lit(True)))
     edits = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), doc_ipv4(salt, s["value"]).alias("replacement")))
     return bind(edits, lambda e: F.when(F.size(e) > 0, splice(text, e)).otherwise(text))
 
