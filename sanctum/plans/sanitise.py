@@ -1,7 +1,7 @@
 """Scan, sanitise, apply a brand map: plans of the operators.
 
-A sanitise pass is one projection over the texts.  Passes repeat until nothing that can be rewritten is left or the findings
-no longer change; each pass is cut by checkpoint() in the folder of ``spark.checkpoint.dir``.
+A sanitise pass is one projection over the texts.  Passes repeat, over the texts in which the last one masked something, until
+nothing that can be rewritten is left or the findings no longer change; each is a table in the folder of ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -37,14 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session names; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def scan(targets: DataFrame, pack: Rulepack | None = None, detectors: Sequence[str] = detect.DETECTORS, strict: bool = False, model: detect.Model | None = None) -> Result:
     """Findings and gates; nothing is rewritten.  Entities are found by the model, if one is given."""
     found = detect.findings(targets, pack, detectors, model)
@@ -66,18 +58,41 @@ def fingerprint(findings: DataFrame) -> tuple[int, str]:
     return row[0], row[1]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into a table of the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/pass-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sanitise(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, max_passes: int = 3, strict: bool = False, model: detect.Model | None = None) -> Result:
-    """Rewrite until no finding is left, they no longer change, or max_passes are done."""
-    seen, passes = None, 0
+    """Rewrite until no finding is left, they no longer change, or max_passes are done.
+
+    Each text is scanned once, and again only after a pass that had something to mask in it: findings stay with their texts, and
+    a text without any that can be rewritten is what each further pass would make of it.
+    """
+    pack = pack or Rulepack()
+    finders = [d for d in detect.DETECTORS if d not in ("brand", "path")]
+    scanned = lambda df: df.withColumn("_found", detect.found_by(df, pack, finders, model))
+    open_ = F.exists("_found", lambda f: rewrite.rewritable(f["category"]))
+    active, seen, passes, pieces = written(scanned(targets)), None, 0, []
     for passes in range(1, max_passes + 1):
-        targets = checkpointed(sanitise_once(targets, salt, pack, model))
-        now = fingerprint(detect.findings(targets, pack, [d for d in detect.DETECTORS if d not in ("brand", "path")], model))
+        pieces.append(active.where(~open_))
+        masked = active.where(open_).withColumn("content", rewrite.apply_findings(F.col("content"), F.col("_found"), salt)).drop("_found")
+        active = written(scanned(masked))
+        now = fingerprint(detect.rows_of(active))
         if now[0] == 0 or now == seen:
             break
         seen = now
-    out = scan(targets, pack, strict=strict, model=model)
-    out.passes = passes
-    return out
+    done = active
+    for piece in pieces:
+        done = done.unionByName(piece)
+    found = detect.rows_of(done.withColumn("_found", F.concat("_found", detect.found_by(done, pack, ("brand",)))))
+    targets = done.select(*targets.columns)
+    if pack.terms() and {"scope", "path"} <= set(targets.columns):
+        found = found.unionByName(detect.findings(targets, pack, ("path",)).select(*found.columns))
+    ran = [d for d in detect.DETECTORS if d != "ner" or model is not None]
+    return Result(targets, found, audit.finding_gates(found, strict, ran), passes)
 
 
 def scrub_targets(targets: DataFrame, salt: bytes, pack: Rulepack | None = None, harvest: DataFrame | None = None) -> DataFrame:
